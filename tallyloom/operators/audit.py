@@ -47,7 +47,9 @@ def _value_counts(table: str, df: DataFrame) -> DataFrame:
     )
     counted = df.select(F.inline(pairs)).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
     # One empty entry per column, so that an empty table still shows its columns.
-    names = df.sparkSession.createDataFrame([(i, None, 0) for i in range(len(df.columns))], "i int, v string, n long")
+    names = df.sparkSession.range(0, len(df.columns), 1, 1).select(
+        F.col("id").cast("int").alias("i"), F.lit(None).cast("string").alias("v"), F.lit(0).cast("long").alias("n")
+    )
     zero = F.lit(0).cast("long")
     known = F.col("v").isNotNull()
     lookup = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(k).alias("k")) for c, k in df.dtypes])

@@ -23,7 +23,7 @@ def frequency_table(df: DataFrame, column: str) -> DataFrame:
     return share_of_total(counted, "count").orderBy(F.col("count").desc(), column)
 
 
-def top_n(df: DataFrame, n: int, **ascending: bool) -> DataFrame:
+def top_n(df: DataFrame, n: int, /, **ascending: bool) -> DataFrame:
     """First ``n`` rows by the named columns, ``True`` for ascending; name a key last to break ties."""
     order = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in ascending.items()]
     return df.orderBy(*order).limit(n)

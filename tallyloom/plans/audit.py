@@ -415,21 +415,21 @@ def q22(t):
     from tallyloom.operators.forecast import seasonal_naive
 
     template = t.horizon(548)
-    forecast = seasonal_naive(daily_sales(t), template, 7)
+    forecast = seasonal_naive(daily_sales(t), 548, 7)
     return a.output_contract(template, forecast, "predicted", "weekly_naive_548_days")
 
 
 @query(
     "Q23_fold_completeness",
-    """select fold_id, count(*) as rows, case when count(*) = 120 then 'PASS' else 'FAIL' end as status from v_daily,
+    """select cast(fold_id as integer) as fold_id, count(*) as rows, case when count(*) = 120 then 'PASS' else 'FAIL' end as status from v_daily,
        (select unnest(range(1, 4)) as fold_id), (select max(date) as hi from v_daily)
        where date > hi - cast((4 - fold_id) * 120 as integer) and date <= hi - cast((3 - fold_id) * 120 as integer) group by 1""",
 )
 def q23(t):
-    from tallyloom.operators.forecast import build_folds, validation_rows
+    from tallyloom.operators.forecast import validation_rows
 
     daily = daily_sales(t)
-    return a.fold_completeness(validation_rows(daily, build_folds(daily)), 120)
+    return a.fold_completeness(validation_rows(daily), 120)
 
 
 @query(
