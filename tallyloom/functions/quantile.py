@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.session import store
+
 
 def _ranks(probs: Sequence[float], total: Column) -> list[tuple[Column, Column, Column]]:
     """(lower rank, upper rank, weight of the upper) of each probability, ranks from 0."""
@@ -37,7 +39,8 @@ def exact_quantiles(
 
     Equal values are counted together first, so a value shared by many rows is one row here.
     The cells only steer the search: the answer is exact whatever the distribution. Null values
-    and null keys are left out.
+    and null keys are left out. The counted values are written to the shared folder and read three
+    times; each later level reads only what the one before kept.
     """
     keys = list(keys)
     if not keys:
@@ -47,7 +50,7 @@ def exact_quantiles(
     for c in [*keys, "_v"]:
         x = x.filter(F.col(c).isNotNull())
     x = x.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    x = x.withColumn("_cell", F.lit(0).cast("long"))
+    x = store(x, "values").withColumn("_cell", F.lit(0).cast("long"))
     group = [*keys, "_cell"]
     for level in range(levels):
         span = x.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
@@ -73,7 +76,7 @@ def exact_quantiles(
         for low, high, _ in _ranks(list(probs.values()), F.col("_total")):
             wanted = wanted | ((low >= start) & (low < end)) | ((high >= start) & (high < end))
         kept = cells.filter(wanted).select(*group, "_before", "_total")
-        x = x.drop("_before", "_total", "_parent").join(kept, group)
+        x = store(x.drop("_before", "_total", "_parent").join(kept, group), "cells")
     ordered = W.partitionBy(*group).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     x = x.withColumn("_end", F.col("_before") + F.sum("_n").over(ordered))
     x = x.withColumn("_start", F.col("_end") - F.col("_n"))

@@ -9,12 +9,14 @@ prediction already computed by Spark.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,11 +141,22 @@ def fit_boosted(rows: DataFrame, features: Sequence[str], target: str, params: d
     scratch_root(rows.sparkSession)
     frame = _training_frame(rows, features, target).cache()
     try:
-        return GBTRegressor(seed=seed, maxBins=64, cacheNodeIds=True, checkpointInterval=10, **params).fit(frame)
+        return GBTRegressor(seed=seed, maxBins=64, checkpointInterval=10, **params).fit(frame)
     finally:
         frame.unpersist()
 
 
+def fit_all(fits: dict, parallelism: int = 6) -> dict:
+    """Run independent fits side by side.
+
+    A fit is a long chain of small jobs that leaves most of the cluster idle; the driver threads
+    here only submit jobs.
+    """
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        running = {name: pool.submit(inheritable_thread_target(fit)) for name, fit in fits.items()}
+        return {name: r.result() for name, r in running.items()}
+
+
 @dataclass
 class Scorer:
     """A fitted model as plain arrays, small enough to travel with the task closure.
@@ -284,8 +297,9 @@ def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
     return "".join(f"{k} {types[k]}, " for k in keys)
 
 
-def _grouped(df: DataFrame, keys: Sequence[str]):
-    return df.groupBy(*keys) if keys else df.groupBy(F.lit(0))
+def _keyed(train: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """A key to group by, also for a frame that is one series."""
+    return (train, list(keys)) if keys else (train.withColumn("_series", F.lit("all")), ["_series"])
 
 
 def recursive_forecast(
@@ -295,7 +309,7 @@ def recursive_forecast(
 
     Series with less than a year of history are left out.
     """
-    keys = list(keys)
+    train, keys = _keyed(train, keys)
     profiles = any(p in scorer.features for p in feats.PROFILES)
     frame, names = _with_future(train, days, [value], keys, profiles)
 
@@ -312,7 +326,8 @@ def recursive_forecast(
         out["predicted"] = history[len(past) :]
         return out
 
-    return _grouped(frame, keys).applyInPandas(roll, f"{_key_schema(train, keys)}date date, predicted double")
+    out = frame.groupBy(*keys).applyInPandas(roll, f"{_key_schema(train, keys)}date date, predicted double")
+    return out.drop("_series")
 
 
 def recursive_forecast_by_fold(
@@ -333,7 +348,7 @@ def recursive_dual_forecast(
     train: DataFrame, days: int, revenue: Scorer, cogs: Scorer, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Revenue and cost of goods together: each prediction feeds the features of both."""
-    keys = list(keys)
+    train, keys = _keyed(train, keys)
     frame, names = _with_future(train, days, ["revenue", "cogs"], keys, profiles=False)
 
     def roll(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -353,7 +368,7 @@ def recursive_dual_forecast(
         return out
 
     schema = f"{_key_schema(train, keys)}date date, revenue_raw double, cogs_raw double"
-    return _grouped(frame, keys).applyInPandas(roll, schema)
+    return frame.groupBy(*keys).applyInPandas(roll, schema).drop("_series")
 
 
 # Combination -----------------------------------------------------------------------------------

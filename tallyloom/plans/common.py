@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.series import densify
+from tallyloom.session import store
 from tallyloom.sources.tables import StarTables
 
 
@@ -17,12 +18,23 @@ def rounded(df: DataFrame, digits: dict[str, int], nudge: float = 0.0) -> DataFr
     return df.withColumns({c: F.round(F.col(c) + F.lit(nudge), n) for c, n in digits.items()})
 
 
+def once(t: StarTables, name: str, build) -> DataFrame:
+    """A frame that one query reads several times, written to the shared folder the first time."""
+    kept = t.__dict__.setdefault("_stored", {})
+    if name not in kept:
+        kept[name] = store(build(), name)
+    return kept[name]
+
+
 def daily_sales(t: StarTables) -> DataFrame:
-    """The one total series, a row for every calendar day."""
-    return densify(t.sales(), [], ["revenue", "cogs"])
+    """The one total series, a row for every calendar day.
+
+    The lines are read once, for the roll-up to days; everything after that reads the days.
+    """
+    return densify(once(t, "daily", t.sales), [], ["revenue", "cogs"])
 
 
 def panel_sales(t: StarTables) -> DataFrame:
     """One series per product segment, each with a row for every calendar day."""
-    panel = t.sales(keys=("segment",)).withColumnRenamed("segment", "series")
+    panel = once(t, "panel", lambda: t.sales(keys=("segment",)).withColumnRenamed("segment", "series"))
     return densify(panel, ["series"], ["revenue", "cogs"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tallyloom.operators import diagnostics as d
 from tallyloom.plans.catalog import query
-from tallyloom.plans.common import rounded
+from tallyloom.plans.common import once, rounded
 
 _DAILY = """daily as (select order_date as date, acquisition_channel, cast(sum(net) as double) as revenue,
     count(distinct order_id) as order_count, cast(sum(net) as double) / count(distinct order_id) as avg_order_value
@@ -144,7 +144,7 @@ def x05(t):
         round(std_ltv, 2) as std_ltv, avg_orders, median_orders, repeat_rate from cohort""",
 )
 def x06(t):
-    return rounded(d.cohort_summary(x05(t)), {"median_ltv": 4, "std_ltv": 2})
+    return rounded(d.cohort_summary(once(t, "lifetime", lambda: x05(t))), {"median_ltv": 4, "std_ltv": 2})
 
 
 @query(
@@ -294,7 +294,7 @@ def x22(t):
         max(repeat_rate) as max_repeat_rate, round(stddev_samp(repeat_rate), 9) as std_repeat_rate from cohort""",
 )
 def x23(t):
-    return rounded(d.channel_spread(d.cohort_summary(x05(t))), {"cv_ltv": 9, "std_repeat_rate": 9})
+    return rounded(d.channel_spread(d.cohort_summary(once(t, "lifetime", lambda: x05(t)))), {"cv_ltv": 9, "std_repeat_rate": 9})
 
 
 @query(

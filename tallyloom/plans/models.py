@@ -1 +1,345 @@
-"""Named queries."""
+"""Named queries for fitted models (F04-F13, B01-B08) and their explanation (V01-V05).
+
+A fit depends on how an engine draws samples and splits, so these have no SQL to be held against;
+the tests hold them against plain loops and properties instead.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyloom.operators import backtest as b
+from tallyloom.operators import explain as x
+from tallyloom.operators import features as e
+from tallyloom.operators import forecast as f
+from tallyloom.plans.catalog import query
+from tallyloom.plans.common import daily_sales, once, panel_sales
+
+KEYS = ["series"]
+HOLDOUT = 120
+DUAL_HOLDOUT = 180
+HORIZON = 548
+
+# A fitted model serves every query of a session that needs it: application, folder and name.
+_FITTED: dict[tuple, object] = {}
+
+
+def fitted_all(t, fits: dict[str, Callable[[], object]]) -> dict[str, object]:
+    """The named models, fitting the missing ones side by side."""
+    key = lambda name: (t.spark.sparkContext.applicationId, t.directory, name)
+    missing = {name: fit for name, fit in fits.items() if key(name) not in _FITTED}
+    for name, model in f.fit_all(missing).items():
+        _FITTED[key(name)] = model
+    return {name: _FITTED[key(name)] for name in fits}
+
+
+def fitted(t, name: str, fit: Callable[[], object]):
+    return fitted_all(t, {name: fit})[name]
+
+
+def _daily(t) -> DataFrame:
+    return once(t, "daily_dense", lambda: daily_sales(t))
+
+
+def _panel(t) -> DataFrame:
+    return once(t, "panel_dense", lambda: panel_sales(t))
+
+
+def _extended(t) -> DataFrame:
+    """Causal features of the total series; they look backwards only, so one frame serves all cuts."""
+    return once(
+        t,
+        "extended",
+        lambda: e.supervised(e.extended_features(_daily(t)), e.EXTENDED_FEATURES, ["revenue"]),
+    )
+
+
+def _dual(t) -> DataFrame:
+    return once(t, "dual", lambda: e.supervised(e.dual_features(_daily(t)), e.DUAL_FEATURES, ["revenue", "cogs"]))
+
+
+def _linear_rows(t, keys=()) -> DataFrame:
+    source = _panel(t) if keys else _daily(t)
+    return e.supervised(e.baseline_features(source, "revenue", keys), e.BASELINE_FEATURES, ["revenue"], keys)
+
+
+def _linear(t, keys=()):
+    def fit():
+        return f.linear_scorer(f.fit_linear(_linear_rows(t, keys), e.BASELINE_FEATURES, "revenue"), e.BASELINE_FEATURES)
+
+    return fitted(t, f"linear{len(keys)}", fit)
+
+
+def _fold_fits(t, name: str, rows: DataFrame, fit: Callable[[DataFrame], f.Scorer]) -> dict[str, Callable]:
+    """One fit per fold from the rows before its validation window."""
+    in_folds = f.training_rows(rows)
+    return {f"{name}_fold{k}": lambda k=k: fit(in_folds.filter(F.col("fold_id") == k)) for k in (1, 2, 3)}
+
+
+def _by_fold(models: dict[str, object], name: str) -> dict[int, f.Scorer]:
+    return {k: models[f"{name}_fold{k}"] for k in (1, 2, 3)}
+
+
+def _boosted_model(t, params: dict, rows: DataFrame, name: str):
+    return fitted(t, name, lambda: f.fit_boosted(rows, e.EXTENDED_FEATURES, "revenue", params))
+
+
+def _full_boosted(t, params: dict = f.PARAM_GRID[0]) -> f.Scorer:
+    model = _boosted_model(t, params, _extended(t), "boosted_full")
+    return fitted(t, "boosted_full_scorer", lambda: f.boosted_scorer(model, e.EXTENDED_FEATURES, t.spark))
+
+
+def _holdout_model(t):
+    """Model fitted without the last 120 days, and those days."""
+    train, held = b.tail_split(_extended(t), HOLDOUT)
+    return _boosted_model(t, f.PARAM_GRID[0], train, "boosted_holdout"), train, held
+
+
+def _dual_scorers(t, rows: DataFrame, name: str) -> tuple[f.Scorer, f.Scorer]:
+    def fit(target: str) -> f.Scorer:
+        return f.boosted_scorer(f.fit_boosted(rows, e.DUAL_FEATURES, target, f.DUAL_PARAMS), e.DUAL_FEATURES, t.spark)
+
+    models = fitted_all(t, {f"dual_{name}_{v}": lambda v=v: fit(v) for v in ("revenue", "cogs")})
+    return models[f"dual_{name}_revenue"], models[f"dual_{name}_cogs"]
+
+
+# Linear ----------------------------------------------------------------------------------------
+
+
+@query("F04_linear_coefficients")
+def f04(t):
+    scorer = _linear(t)
+    rows = [*zip(scorer.features, map(float, scorer.coefficients)), ("intercept", scorer.intercept)]
+    return t.spark.createDataFrame(rows, "feature string, coefficient double")
+
+
+@query("F05_linear_recursive")
+def f05(t):
+    """One pooled model, every segment series rolled out on its own."""
+    return f.recursive_forecast(_panel(t), HOLDOUT, _linear(t, KEYS), "revenue", KEYS)
+
+
+@query("F12_equal_weight_ensemble")
+def f12(t):
+    panel = _panel(t)
+    names = ["seasonal_week_lag7", "seasonal_year_lag365", "linear_recursive_lagged"]
+    wide = f.align(
+        {
+            names[0]: f.seasonal_naive(panel, HOLDOUT, 7, "revenue", KEYS),
+            names[1]: f.seasonal_naive(panel, HOLDOUT, 365, "revenue", KEYS),
+            names[2]: f05(t),
+        },
+        KEYS,
+    )
+    return wide.withColumn("ensemble_equal_weight", f.equal_weight(names))
+
+
+def _linear_backtest(t) -> DataFrame:
+    """Weekly, yearly, linear and ensemble predictions of the three folds."""
+    daily = _daily(t)
+    fit = lambda rows: f.linear_scorer(f.fit_linear(rows, e.BASELINE_FEATURES, "revenue"), e.BASELINE_FEATURES)
+    scorers = _by_fold(fitted_all(t, _fold_fits(t, "linear", _linear_rows(t), fit)), "linear")
+    train = f.training_rows(daily)
+    parts = {name: f.seasonal_naive(train, f.HORIZON, s, "revenue", ["fold_id"]) for name, s in b.NAIVE_SEASONS.items()}
+    parts["linear_recursive_lagged"] = f.recursive_forecast_by_fold(train, f.HORIZON, scorers)
+    wide = once(t, "linear_folds", lambda: f.align(parts, ["fold_id"]))
+    wide = wide.withColumn("ensemble_equal_weight", f.equal_weight(list(parts)))
+    lines = F.array(
+        *[F.struct(F.lit(n).alias("model"), F.col(n).alias("predicted")) for n in [*parts, "ensemble_equal_weight"]]
+    )
+    actual = f.validation_rows(daily).select("fold_id", "date", F.col("revenue").alias("actual"))
+    return wide.select("fold_id", "date", F.inline(lines)).join(actual, ["fold_id", "date"])
+
+
+@query("B01_model_backtest")
+def b01_models(t):
+    return _linear_backtest(t)
+
+
+@query("B04_model_comparison")
+def b04_models(t):
+    return b.model_summary(b.metrics(_linear_backtest(t), ["fold_id", "model"]))
+
+
+# Boosted trees ---------------------------------------------------------------------------------
+
+
+@query("F06_boosted_one_step")
+def f06(t):
+    model, _, held = _holdout_model(t)
+    scored = model.transform(f.with_vector(held, e.EXTENDED_FEATURES))
+    return scored.select("date", F.col("revenue").alias("actual"), F.col("prediction").alias("predicted"))
+
+
+@query("F07_boosted_recursive")
+def f07(t):
+    return f.recursive_forecast(_daily(t), HORIZON, _full_boosted(t))
+
+
+def _boosted_wide(t) -> DataFrame:
+    return f.align({"gbt_recursive": f07(t), "seasonal_year_lag365": f.seasonal_naive(_daily(t), HORIZON, 365)})
+
+
+@query("F08_boosted_blend")
+def f08(t):
+    return _boosted_wide(t).select("date", f.blend("gbt_recursive", "seasonal_year_lag365", 0.9).alias("predicted"))
+
+
+@query("F13_final_forecast")
+def f13(t):
+    """Forecast detail for every template day, with the model the backtest chose."""
+    wide = _boosted_wide(t).withColumn("blend_alpha_0.90", f.blend("gbt_recursive", "seasonal_year_lag365", 0.9))
+    wide = wide.withColumnRenamed("blend_alpha_0.90", "blend")
+    return f.forecast_detail(wide, ["gbt_recursive", "seasonal_year_lag365", "blend"], "blend")
+
+
+def _grid_predictions(t) -> DataFrame:
+    """Each parameter set is fitted once per fold; blend weights are derived, not refitted."""
+    daily = _daily(t)
+    train = f.training_rows(daily)
+    actual = f.validation_rows(daily).select("fold_id", "date", F.col("revenue").alias("actual"))
+    seasonal = f.seasonal_naive(train, f.HORIZON, 365, "revenue", ["fold_id"])
+    seasonal = seasonal.select("fold_id", "date", F.lit("seasonal_year_lag365").alias("model"), "predicted")
+    rows = _extended(t)
+    fits = {}
+    for i, params in enumerate(f.PARAM_GRID, start=1):
+
+        def fit(part, params=params):
+            model = f.fit_boosted(part, e.EXTENDED_FEATURES, "revenue", params)
+            return f.boosted_scorer(model, e.EXTENDED_FEATURES, t.spark)
+
+        fits.update(_fold_fits(t, f"boosted_set{i}", rows, fit))
+    models = fitted_all(t, fits)
+    parts = []
+    for i in range(1, len(f.PARAM_GRID) + 1):
+        scorers = _by_fold(models, f"boosted_set{i}")
+        rolled = f.recursive_forecast_by_fold(train, f.HORIZON, scorers)
+        named = rolled.select("fold_id", "date", F.lit("gbt_recursive").alias("model"), "predicted")
+        parts.append(named.unionByName(seasonal).withColumn("param_set", F.lit(i)))
+    return reduce(DataFrame.unionByName, parts).join(actual, ["fold_id", "date"])
+
+
+@query("B07_grid_search")
+def b07(t):
+    """Candidates of every parameter set and weight, best first."""
+    predictions = once(t, "grid", lambda: _grid_predictions(t))
+    blends = b.blend_predictions(
+        predictions, "gbt_recursive", "seasonal_year_lag365", f.BLEND_ALPHAS, ["param_set", "fold_id"]
+    ).drop("alpha")
+    every = predictions.select("param_set", "fold_id", "date", "actual", "model", "predicted").unionByName(
+        blends.select("param_set", "fold_id", "date", "actual", "model", "predicted")
+    )
+    per_fold = b.metrics(every, ["param_set", "fold_id", "model"])
+    return b.model_summary(per_fold, ["param_set"]).orderBy("rmse", "mae", "composite_rank", "param_set", "model")
+
+
+# Two targets -----------------------------------------------------------------------------------
+
+
+@query("F09_dual_one_step")
+def f09(t):
+    train, held = b.tail_split(_dual(t), DUAL_HOLDOUT)
+    revenue, cogs = _dual_scorers(t, train, "holdout")
+    return _score_rows(held, {"revenue": revenue, "cogs": cogs})
+
+
+def _score_rows(rows: DataFrame, scorers: dict[str, f.Scorer]) -> DataFrame:
+    """Scored in Arrow batches: the arrays travel with the task, the rows never leave it."""
+    import numpy as np
+
+    names = {target: list(s.features) for target, s in scorers.items()}
+
+    def score(batches):
+        for pdf in batches:
+            out = pdf[["date", *scorers]].copy()
+            for target, scorer in scorers.items():
+                matrix = pdf[names[target]].to_numpy(dtype=float)
+                out[f"{target}_pred"] = np.array([scorer.predict(row) for row in matrix], dtype=float)
+            yield out
+
+    schema = ", ".join(["date date", *[f"{s} double" for s in scorers], *[f"{s}_pred double" for s in scorers]])
+    return rows.mapInPandas(score, schema)
+
+
+@query("F10_dual_recursive")
+def f10(t):
+    """Refitted on all rows; predictions feed back as they are."""
+    revenue, cogs = _dual_scorers(t, _dual(t), "full")
+    return f.recursive_dual_forecast(_daily(t), HORIZON, revenue, cogs)
+
+
+@query("F11_dual_post_processed")
+def f11(t):
+    daily = _daily(t)
+    wide = f.align(
+        {
+            "revenue_seasonal": f.seasonal_naive(daily, HORIZON, 365),
+            "cogs_seasonal": f.seasonal_naive(daily, HORIZON, 365, "cogs"),
+        }
+    ).join(f10(t), "date")
+    alpha = max(f.DUAL_ALPHAS)
+    blended = wide.select(
+        "date",
+        "revenue_raw",
+        "revenue_seasonal",
+        "cogs_raw",
+        "cogs_seasonal",
+        f.blend("revenue_raw", "revenue_seasonal", alpha).alias("revenue_final"),
+        f.blend("cogs_raw", "cogs_seasonal", alpha).alias("cogs_final"),
+    )
+    return f.post_process(blended, "revenue_final", "cogs_final")
+
+
+@query("B08_dual_blend_weights")
+def b08(t):
+    """Weights judged on a recursive forecast of the holdout, the way they will be used."""
+    train_rows, _ = b.tail_split(_dual(t), DUAL_HOLDOUT)
+    revenue, cogs = _dual_scorers(t, train_rows, "holdout")
+    train, held = b.tail_split(_daily(t), DUAL_HOLDOUT)
+    wide = f.align(
+        {
+            "revenue_seasonal": f.seasonal_naive(train, DUAL_HOLDOUT, 365),
+            "cogs_seasonal": f.seasonal_naive(train, DUAL_HOLDOUT, 365, "cogs"),
+        }
+    ).join(f.recursive_dual_forecast(train, DUAL_HOLDOUT, revenue, cogs), "date")
+    judged = once(t, "dual_judged", lambda: held.join(wide, "date"))
+    return b.blend_weights(judged, f.DUAL_ALPHAS)
+
+
+# Explanation -----------------------------------------------------------------------------------
+
+
+@query("V01_feature_importance")
+def v01(t):
+    model, _, _ = _holdout_model(t)
+    return x.feature_importance(model, e.EXTENDED_FEATURES, t.spark, top_n=20)
+
+
+@query("V02_grouped_importance")
+def v02(t):
+    model, _, _ = _holdout_model(t)
+    return x.grouped_importance(x.feature_importance(model, e.EXTENDED_FEATURES, t.spark), e.FEATURE_GROUPS)
+
+
+@query("V03_permutation_importance")
+def v03(t):
+    model, _, held = _holdout_model(t)
+    return x.permutation_importance(model, held, e.EXTENDED_FEATURES, "revenue")
+
+
+@query("V04_partial_dependence")
+def v04(t):
+    model, train, _ = _holdout_model(t)
+    shares = model.featureImportances.toArray()
+    top = sorted(range(len(shares)), key=lambda i: (-shares[i], e.EXTENDED_FEATURES[i]))[:3]
+    return x.partial_dependence(model, train, e.EXTENDED_FEATURES, [e.EXTENDED_FEATURES[i] for i in top])
+
+
+@query("V05_holdout_metrics")
+def v05(t):
+    model, _, held = _holdout_model(t)
+    return x.holdout_summary(model, held, e.EXTENDED_FEATURES, "revenue")
