@@ -58,14 +58,21 @@ def date_spine(df: DataFrame, date: str = "date") -> DataFrame:
 def densify(df: DataFrame, keys: Sequence[str], values: Sequence[str], date: str = "date") -> DataFrame:
     """Add the missing days of every series, with zero values.
 
-    All series get the span of the whole frame. The span is attached to each series key and
-    unfolded there, so no pair of unrelated rows is ever formed.
+    Each row unfolds into itself and the gap up to the next row of its series, so one pass fills
+    all gaps without a join. With keys, every series is stretched to the span of the whole frame.
     """
     keys = list(keys)
+    w = ordered(keys, date)
+    day = F.col(date)
+    first, last = day, day
     if keys:
-        first, last = df.select(F.min(date)).scalar(), df.select(F.max(date)).scalar()
-        days = df.select(*keys).distinct().select(*keys, F.explode(F.sequence(first, last)).alias(date))
-    else:
-        days = date_spine(df, date)
-    filled = days.join(df.select(*keys, date, *values), [*keys, date], "left")
-    return filled.select(*keys, date, *[F.coalesce(F.col(v), F.lit(0.0)).alias(v) for v in values])
+        span = df.select(F.struct(F.min(date).alias("a"), F.max(date).alias("b"))).scalar()
+        first, last = span["a"], span["b"]
+    starts = F.when(F.lag(date).over(w).isNull(), first).otherwise(day)
+    ends = F.greatest(F.coalesce(F.date_sub(F.lead(date).over(w), 1), last), day)
+    rows = df.select(*keys, day.alias("_own"), *values, starts.alias("_a"), ends.alias("_b"))
+    days = rows.select(*keys, "_own", *values, F.explode(F.sequence("_a", "_b")).alias(date))
+    present = F.col(date) == F.col("_own")
+    return days.select(
+        *keys, date, *[F.when(present, F.coalesce(v, F.lit(0.0))).otherwise(F.lit(0.0)).alias(v) for v in values]
+    )

@@ -173,8 +173,8 @@ def apply_growth_profile(
     if keys:
         dated = days.join(factors, keys)
     else:
-        names = [c for c in factors.columns]
-        dated = days.withColumns({c: factors.select(c).scalar() for c in names})
+        row = factors.select(F.struct(*factors.columns)).scalar()
+        dated = days.withColumn("_row", row).select("*", "_row.*").drop("_row")
     dated = dated.withColumns({"month": F.month("date"), "day": F.dayofmonth("date")})
     joined = dated.join(profile, [*keys, "month", "day"], "left")
     ahead = (F.year("date") - F.col("base_year")).cast("double")

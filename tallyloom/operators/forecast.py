@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.expr import calendar_columns
@@ -152,8 +152,9 @@ def fit_all(fits: dict, parallelism: int = 6) -> dict:
     A fit is a long chain of small jobs that leaves most of the cluster idle; the driver threads
     here only submit jobs.
     """
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        running = {name: pool.submit(inheritable_thread_target(fit)) for name, fit in fits.items()}
+        running = {name: pool.submit(inherit(fit)) for name, fit in fits.items()}
         return {name: r.result() for name, r in running.items()}
 
 

@@ -58,26 +58,21 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], keys: Sequence[str] =
     Quartiles are exact and keep the distinct values of a group in memory: meant for daily
     series and forecasts. ``functions.quantile.exact_quantiles`` serves larger groups.
     """
-    parts = []
-    for c in columns:
-        parts.append(
-            df.groupBy(*keys)
-            .agg(
-                F.count(c).alias("count"),
-                F.avg(c).alias("mean"),
-                F.stddev_samp(c).alias("std"),
-                F.min(c).alias("min"),
-                F.percentile(c, F.lit(0.25)).alias("q25"),
-                F.percentile(c, F.lit(0.5)).alias("q50"),
-                F.percentile(c, F.lit(0.75)).alias("q75"),
-                F.max(c).alias("max"),
-            )
-            .withColumn("metric", F.lit(c))
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    stats = {
+        "count": F.count,
+        "mean": F.avg,
+        "std": F.stddev_samp,
+        "min": F.min,
+        "q25": lambda c: F.percentile(c, F.lit(0.25)),
+        "q50": lambda c: F.percentile(c, F.lit(0.5)),
+        "q75": lambda c: F.percentile(c, F.lit(0.75)),
+        "max": F.max,
+    }
+    row = df.groupBy(*keys).agg(*[build(c).alias(f"{c}__{s}") for c in columns for s, build in stats.items()])
+    lines = F.array(
+        *[F.struct(F.lit(c).alias("metric"), *[F.col(f"{c}__{s}").alias(s) for s in stats]) for c in columns]
+    )
+    return row.select(*keys, F.inline(lines))
 
 
 def row_spread(columns: Sequence[str]) -> tuple[Column, Column]:

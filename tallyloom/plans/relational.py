@@ -461,19 +461,19 @@ _simple(
     lambda t: rounded(
         rounded(
             t.payments()
-            .groupBy(F.lit(1).alias("every"))
             .agg(
                 e.money_avg("payment_value").alias("mean_value"),
                 F.stddev_samp("payment_value").alias("std_value"),
                 F.var_samp("payment_value").alias("var_value"),
             )
-            .join(
-                exact_quantiles(
-                    t.payments().withColumn("every", F.lit(1)), ["every"], "payment_value", {"q1": 0.25, "q2": 0.5, "q3": 0.75}
-                ),
-                "every",
+            .withColumn(
+                "_q",
+                exact_quantiles(t.payments(), [], "payment_value", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+                .select(F.struct("q1", "q2", "q3"))
+                .scalar(),
             )
-            .drop("every"),
+            .select("*", "_q.*")
+            .drop("_q"),
             {"std_value": 3, "var_value": -4},
         ),
         {"q1": 4, "q2": 4, "q3": 4},

@@ -46,8 +46,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{scratch_root(spark).rstrip('/')}/tallyloom/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, grouped by application so that it can be dropped with it."""
+    app = spark.sparkContext.applicationId
+    return f"{scratch_root(spark).rstrip('/')}/tallyloom/{app}/{label}-{uuid.uuid4().hex}"
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
