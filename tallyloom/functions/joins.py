@@ -1,0 +1,24 @@
+"""Choosing a join by the checked size of its small side."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def _bytes(setting: str) -> int:
+    """A Spark size setting such as ``10485760b`` or ``10MB`` in bytes; -1 stays -1."""
+    text = setting.strip().lower().removesuffix("b")
+    units = {"k": 2**10, "m": 2**20, "g": 2**30}
+    if text[-1] in units:
+        return int(text[:-1]) * units[text[-1]]
+    return int(text)
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether the optimizer's size estimate is within ``spark.sql.autoBroadcastJoinThreshold``.
+
+    The estimate comes from file sizes; nothing runs. Callers take another way when it is not.
+    """
+    limit = _bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 0 <= size <= limit

@@ -34,23 +34,29 @@ def exact_quantiles(
     probs: dict[str, float],
     bins: int = 1024,
     levels: int = 2,
+    direct_rows: int = 1_000_000,
 ) -> DataFrame:
     """One row per key with a column per entry of ``probs``; linear interpolation between ranks.
 
     Equal values are counted together first, so a value shared by many rows is one row here.
     The cells only steer the search: the answer is exact whatever the distribution. Null values
-    and null keys are left out. The counted values are written to the shared folder and read three
-    times; each later level reads only what the one before kept.
+    and null keys are left out. The counted values are written to the shared folder: up to
+    ``direct_rows`` of them fit any task and go straight to ``percentile``; more are read three
+    times, and each later level reads only what the one before kept.
     """
     keys = list(keys)
     if not keys:
-        one = exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, bins, levels)
+        every = df.withColumn("_all", F.lit(1))
+        one = exact_quantiles(every, ["_all"], value, probs, bins, levels, direct_rows)
         return one.drop("_all")
     x = df.select(*keys, F.col(value).cast("double").alias("_v"))
     for c in [*keys, "_v"]:
         x = x.filter(F.col(c).isNotNull())
     x = x.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    x = store(x, "values").withColumn("_cell", F.lit(0).cast("long"))
+    x = store(x, "values")
+    if x.count() <= direct_rows:
+        return x.groupBy(*keys).agg(*[bounded_quantile("_v", p, "_n").alias(name) for name, p in probs.items()])
+    x = x.withColumn("_cell", F.lit(0).cast("long"))
     group = [*keys, "_cell"]
     for level in range(levels):
         span = x.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))

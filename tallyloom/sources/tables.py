@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.expr import money, money_sum, net_value, ratio
+from tallyloom.functions.joins import fits_broadcast
 from tallyloom.sources import readers
 from tallyloom.sources.schemas import REGISTRY
 
@@ -187,23 +188,22 @@ class StarTables:
     def sales(self, keys: tuple[str, ...] = ()) -> DataFrame:
         """Daily revenue and cost of goods, optionally per product attribute.
 
-        Lines are summed to (day, product) before the product join, so a best-seller reaches
-        that join as one row per day however many lines it has.
+        A product table that passes the size check travels to the lines, which are then summed to
+        days at once. A larger one meets them after they are summed to (day, product), so that a
+        best-seller reaches that join as one row per day however many lines it has.
         """
         lines = self.order_items().select("order_id", "product_id", "quantity", money(net_value()).alias("net"))
-        per_product = (
-            lines.join(self.orders().select("order_id", "order_date"), "order_id")
-            .groupBy("order_date", "product_id")
-            .agg(F.sum("net").alias("net"), F.sum("quantity").alias("units"))
-        )
+        dated = self.orders().select("order_id", F.col("order_date").alias("date"))
         products = self.products().select("product_id", "cogs", *keys)
-        return (
-            per_product.join(products, "product_id")
-            .groupBy(*keys, F.col("order_date").alias("date"))
-            .agg(
-                F.sum("net").cast("double").alias("revenue"),
-                F.sum(money(F.col("units") * F.col("cogs"))).cast("double").alias("cogs"),
-            )
+        cost = money(F.col("quantity") * F.col("cogs"))
+        if fits_broadcast(products):
+            detailed = lines.join(F.broadcast(products), "product_id").join(dated, "order_id")
+        else:
+            per_product = lines.join(dated, "order_id").groupBy("date", "product_id")
+            per_product = per_product.agg(F.sum("net").alias("net"), F.sum("quantity").alias("quantity"))
+            detailed = per_product.join(products, "product_id")
+        return detailed.groupBy(*keys, "date").agg(
+            F.sum("net").cast("double").alias("revenue"), F.sum(cost).cast("double").alias("cogs")
         )
 
     def web_traffic(self) -> DataFrame:

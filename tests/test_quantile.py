@@ -15,6 +15,7 @@ def expected(values):
 def check(spark, groups, **kwargs):
     rows = [(k, float(v)) for k, values in groups.items() for v in values]
     df = spark.createDataFrame(rows, "k string, v double")
+    kwargs.setdefault("direct_rows", 0)
     got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", PROBS, **kwargs).collect()}
     assert set(got) == set(groups)
     for k, values in groups.items():
@@ -42,6 +43,10 @@ def test_few_bins_and_many_levels(spark):
     check(spark, {"a": rng.random(300), "b": rng.integers(0, 5, 300)}, bins=2, levels=3)
 
 
+def test_small_inputs_go_straight_to_percentile(spark):
+    check(spark, {"a": [1.0, 5.0, 5.0, 9.0], "b": [2.0]}, direct_rows=100)
+
+
 def test_nulls_are_left_out_and_no_key_is_one_group(spark):
     df = spark.createDataFrame([(None, 1.0), ("a", None), ("a", 4.0), ("a", 2.0)], "k string, v double")
     assert [tuple(r) for r in exact_quantiles(df, ["k"], "v", {"m": 0.5}).collect()] == [("a", 3.0)]

@@ -53,3 +53,33 @@ def test_export_keeps_template_order_and_shows_missing_days(spark):
     forecast = spark.createDataFrame([(day, 1.0), (day + dt.timedelta(2), 3.0)], "date date, v double")
     got = writers.ordered_export(template, forecast, [], ["v"]).collect()
     assert [(r.row_id, r.date, r.v) for r in got] == [(1, "2020-01-03", 3.0), (2, "2020-01-01", 1.0), (3, "2020-01-02", None)]
+
+
+def test_sales_is_the_same_with_and_without_broadcast(spark, tables):
+    small = {tuple(r) for r in tables.sales(keys=("segment",)).collect()}
+    plan = tables.sales()._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = {tuple(r) for r in tables.sales(keys=("segment",)).collect()}
+        large_plan = tables.sales()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert small == large
+    assert "BroadcastHashJoin" in plan and "BroadcastHashJoin" not in large_plan
+
+
+def test_size_settings():
+    from tallyloom.functions.joins import _bytes
+
+    assert [_bytes(x) for x in ("10485760b", "10MB", "-1", "64k", "1g")] == [10485760, 10485760, -1, 65536, 2**30]
+
+
+def test_a_section_writes_all_its_tables(spark, tmp_path):
+    from tallyloom.runs import SECTIONS, run_section, section_queries
+
+    from .conftest import DATA
+
+    paths = run_section(spark, DATA, "descriptive", str(tmp_path))
+    assert len(paths) == len(section_queries("descriptive")) >= 14
+    assert spark.read.parquet(paths[0]).count() > 0
+    assert all(section_queries(s) for s in SECTIONS)
