@@ -39,36 +39,29 @@ def _counts(table: str, df: DataFrame) -> DataFrame:
 def _value_counts(table: str, df: DataFrame) -> DataFrame:
     """Rows, non-null rows and distinct values of every column from one scan and one shuffle.
 
-    Each row becomes narrow (column number, value) pairs, and equal pairs are counted on the map
+    Rows are unpivoted to narrow (column, value) pairs, and equal pairs are counted on the map
     side, so a value that fills a third of a column travels as one row per task.
     """
-    pairs = F.array(
-        *[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(df.columns)]
-    )
-    counted = df.select(F.inline(pairs)).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    counted = texts.unpivot([], df.columns, "column", "v").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
     # One empty entry per column, so that an empty table still shows its columns.
-    names = df.sparkSession.range(0, len(df.columns), 1, 1).select(
-        F.col("id").cast("int").alias("i"), F.lit(None).cast("string").alias("v"), F.lit(0).cast("long").alias("n")
+    kinds = F.create_map(*[F.lit(x) for pair in df.dtypes for x in pair])
+    empty = df.sparkSession.range(0, 1, 1, 1).select(
+        F.explode(F.map_keys(kinds)).alias("column"),
+        F.lit(None).cast("string").alias("v"),
+        F.lit(0).cast("long").alias("n"),
     )
-    zero = F.lit(0).cast("long")
-    known = F.col("v").isNotNull()
-    lookup = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(k).alias("k")) for c, k in df.dtypes])
+    known = F.when(F.col("v").isNotNull(), F.col("n"))
     return (
-        counted.unionByName(names)
-        .groupBy("i")
+        counted.unionByName(empty)
+        .groupBy("column")
         .agg(
             F.sum("n").alias("rows"),
-            F.coalesce(F.sum(F.when(known, F.col("n"))), zero).alias("non_null"),
+            F.coalesce(F.sum(known), F.lit(0).cast("long")).alias("non_null"),
             F.count("v").alias("distinct_count"),
         )
-        .withColumn("entry", F.element_at(lookup, F.col("i") + 1))
         .select(
-            F.lit(table).alias("table"),
-            F.col("entry.c").alias("column"),
-            F.col("entry.k").alias("dtype"),
-            "rows",
-            "non_null",
-            "distinct_count",
+            F.lit(table).alias("table"), "column", kinds[F.col("column")].alias("dtype"), "rows", "non_null", "distinct_count"
         )
     )
 

@@ -34,7 +34,11 @@ def daily_sales(t: StarTables) -> DataFrame:
     return densify(once(t, "daily", t.sales), [], ["revenue", "cogs"])
 
 
+def segment_days(t: StarTables) -> DataFrame:
+    """Daily sales per product segment, days with sales only."""
+    return once(t, "panel", lambda: t.sales(keys=("segment",)).withColumnRenamed("segment", "series"))
+
+
 def panel_sales(t: StarTables) -> DataFrame:
     """One series per product segment, each with a row for every calendar day."""
-    panel = once(t, "panel", lambda: t.sales(keys=("segment",)).withColumnRenamed("segment", "series"))
-    return densify(panel, ["series"], ["revenue", "cogs"])
+    return densify(segment_days(t), ["series"], ["revenue", "cogs"])

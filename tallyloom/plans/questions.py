@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from tallyloom.operators import audit, questions as q
 from tallyloom.plans.catalog import query
 from tallyloom.plans.common import rounded
+from tallyloom.sources.tables import StarTables
 
-CATEGORY = "Brand#1"
+CATEGORY = StarTables.question_category
 
 
 def _inputs(t):
     return dict(
         orders=t.orders_with_zip(), products=t.products(), returns=t.returns(), traffic=t.web_traffic(),
         items=t.order_items(), customers=t.customers(), geography=t.geography(), payments=t.payments(),
-        category=CATEGORY,
+        category=t.question_category,
     )
 
 
@@ -78,7 +79,7 @@ def a02(t):
 
 @query("A03_return_reasons_in_category", _A03)
 def a03(t):
-    return q.return_reasons_in(t.returns(), t.products(), CATEGORY)
+    return q.return_reasons_in(t.returns(), t.products(), t.question_category)
 
 
 @query("A04_bounce_by_source", f"select * replace (round(avg_bounce_rate, 9) as avg_bounce_rate) from ({_A04})")

@@ -13,7 +13,7 @@ from tallyloom.functions.quantile import exact_quantiles
 from tallyloom.operators import facts, relational as r, scenario
 from tallyloom.operators.audit import union_all
 from tallyloom.plans.catalog import query
-from tallyloom.plans.common import daily_sales, panel_sales, rounded
+from tallyloom.plans.common import daily_sales, panel_sales, rounded, segment_days
 from tallyloom.session import scratch_path
 from tallyloom.sources import readers, writers
 from tallyloom.sources.tables import STAR_SCHEMAS
@@ -378,12 +378,10 @@ _simple(
     "J12_aligned_series",
     """select a.series, a.date, a.revenue - b.revenue as difference from v_panel a join v_panel b
        on b.series = a.series and b.date = a.date - 7""",
-    lambda t: t.sales(keys=("segment",))
-    .select(F.col("segment").alias("series"), "date", "revenue")
+    lambda t: segment_days(t)
+    .select("series", "date", "revenue")
     .join(
-        t.sales(keys=("segment",)).select(
-            F.col("segment").alias("series"), F.date_add("date", 7).alias("date"), F.col("revenue").alias("before")
-        ),
+        segment_days(t).select("series", F.date_add("date", 7).alias("date"), F.col("revenue").alias("before")),
         ["series", "date"],
     )
     .select("series", "date", (F.col("revenue") - F.col("before")).alias("difference")),

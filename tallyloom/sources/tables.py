@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.functions.expr import money, money_sum, net_value, ratio
-from tallyloom.functions.joins import fits_broadcast
+from tallyloom.functions.expr import money_sum, ratio
+from tallyloom.operators.facts import sales_by_day
 from tallyloom.sources import readers
 from tallyloom.sources.schemas import REGISTRY
 
@@ -53,6 +53,11 @@ class StarTables:
     not use are pruned down to the Parquet scan.
     """
 
+    # What the questions and the window check expect of this data.
+    question_category = "Brand#1"
+    sales_window = ("1995-01-01", "2001-08-01")
+    horizon_window = ("2001-08-02", "2003-01-31")
+
     def __init__(self, spark: SparkSession, directory: str):
         self.spark = spark
         self.directory = directory
@@ -186,25 +191,7 @@ class StarTables:
         )
 
     def sales(self, keys: tuple[str, ...] = ()) -> DataFrame:
-        """Daily revenue and cost of goods, optionally per product attribute.
-
-        A product table that passes the size check travels to the lines, which are then summed to
-        days at once. A larger one meets them after they are summed to (day, product), so that a
-        best-seller reaches that join as one row per day however many lines it has.
-        """
-        lines = self.order_items().select("order_id", "product_id", "quantity", money(net_value()).alias("net"))
-        dated = self.orders().select("order_id", F.col("order_date").alias("date"))
-        products = self.products().select("product_id", "cogs", *keys)
-        cost = money(F.col("quantity") * F.col("cogs"))
-        if fits_broadcast(products):
-            detailed = lines.join(F.broadcast(products), "product_id").join(dated, "order_id")
-        else:
-            per_product = lines.join(dated, "order_id").groupBy("date", "product_id")
-            per_product = per_product.agg(F.sum("net").alias("net"), F.sum("quantity").alias("quantity"))
-            detailed = per_product.join(products, "product_id")
-        return detailed.groupBy(*keys, "date").agg(
-            F.sum("net").cast("double").alias("revenue"), F.sum(cost).cast("double").alias("cogs")
-        )
+        return sales_by_day(self.order_items(), self.orders(), self.products(), keys)
 
     def web_traffic(self) -> DataFrame:
         return (
@@ -252,13 +239,22 @@ class StarTables:
 
 
 class CsvTables:
-    """The same tables from a folder of CSV files, one file per table."""
+    """The same tables from a folder of CSV files, one file per table.
+
+    ``sales`` is its own file; per product attribute it is rolled up from the order lines.
+    """
+
+    # The category one question asks about, and the expected date windows.
+    question_category = "Streetwear"
+    sales_window = ("2012-07-04", "2022-12-31")
+    horizon_window = ("2023-01-01", "2024-07-01")
 
     def __init__(self, spark: SparkSession, directory: str):
         self.spark = spark
         self.directory = directory
 
     def raw(self, name: str) -> DataFrame:
+        """All columns as text, for the audit of a file."""
         return readers.read_raw(self.spark, f"{self.directory}/{name}.csv")
 
     def table(self, name: str) -> DataFrame:
@@ -268,7 +264,27 @@ class CsvTables:
         """Every registered table, loaded lazily."""
         return {name: self.table(name) for name in REGISTRY.tables}
 
+    def orders_with_zip(self) -> DataFrame:
+        return self.table("orders")
+
+    def sales(self, keys: tuple[str, ...] = ()) -> DataFrame:
+        if not keys:
+            return self.table("sales").filter(F.col("date").isNotNull())
+        return sales_by_day(self.table("order_items"), self.table("orders"), self.table("products"), keys)
+
+    def horizon(self, days: int) -> DataFrame:
+        """The template file in its own row order; ``days`` is what the file holds."""
+        rows = self.table("sample_submission").select("date")
+        return rows.select((F.monotonically_increasing_id() + 1).cast("int").alias("row_id"), "date").filter(
+            F.col("row_id") <= days
+        )
+
     def __getattr__(self, name: str) -> Callable[[], DataFrame]:
         if name in REGISTRY.tables:
             return lambda: self.table(name)
         raise AttributeError(name)
+
+
+def open_tables(spark: SparkSession, directory: str, kind: str) -> StarTables | CsvTables:
+    """``star`` for the Parquet star schema, ``csv`` for the folder of CSV files."""
+    return {"star": StarTables, "csv": CsvTables}[kind](spark, directory)
