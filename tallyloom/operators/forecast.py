@@ -24,7 +24,7 @@ from tallyloom.functions.expr import calendar_columns
 from tallyloom.functions.series import series_window
 from tallyloom.operators import features as feats
 from tallyloom.operators.decompose import unfold_horizon
-from tallyloom.session import scratch_path, scratch_root
+from tallyloom.session import scratch_path, scratch_root, ship_package
 
 HORIZON = 120
 N_FOLDS = 3
@@ -299,7 +299,8 @@ def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
 
 
 def _keyed(train: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """A key to group by, also for a frame that is one series."""
+    """A key to group by, also for a frame that is one series; the tasks get the package."""
+    ship_package(train.sparkSession)
     return (train, list(keys)) if keys else (train.withColumn("_series", F.lit("all")), ["_series"])
 
 

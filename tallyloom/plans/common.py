@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+from contextlib import ExitStack, contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +21,28 @@ def rounded(df: DataFrame, digits: dict[str, int], nudge: float = 0.0) -> DataFr
     return df.withColumns({c: F.round(F.col(c) + F.lit(nudge), n) for c, n in digits.items()})
 
 
+_LOCKS: dict[tuple, threading.RLock] = {}
+_LOCKS_GUARD = threading.Lock()
+
+
+@contextmanager
+def only_one(*names):
+    """Hold the locks of all names: what several queries of a run need is computed by one of them."""
+    with ExitStack() as stack:
+        for name in sorted(names, key=repr):
+            with _LOCKS_GUARD:
+                lock = _LOCKS.setdefault(name, threading.RLock())
+            stack.enter_context(lock)
+        yield
+
+
 def once(t: StarTables, name: str, build) -> DataFrame:
-    """A frame that one query reads several times, written to the shared folder the first time."""
-    kept = t.__dict__.setdefault("_stored", {})
-    if name not in kept:
-        kept[name] = store(build(), name)
-    return kept[name]
+    """A frame that several steps read, written to the shared folder the first time."""
+    with only_one((id(t), name)):
+        kept = t.__dict__.setdefault("_stored", {})
+        if name not in kept:
+            kept[name] = store(build(), name)
+        return kept[name]
 
 
 def daily_sales(t: StarTables) -> DataFrame:

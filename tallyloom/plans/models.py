@@ -17,7 +17,7 @@ from tallyloom.operators import explain as x
 from tallyloom.operators import features as e
 from tallyloom.operators import forecast as f
 from tallyloom.plans.catalog import query
-from tallyloom.plans.common import daily_sales, once, panel_sales
+from tallyloom.plans.common import daily_sales, once, only_one, panel_sales
 
 KEYS = ["series"]
 HOLDOUT = 120
@@ -30,11 +30,12 @@ _FITTED: dict[tuple, object] = {}
 
 def fitted_all(t, fits: dict[str, Callable[[], object]]) -> dict[str, object]:
     """The named models, fitting the missing ones side by side."""
-    key = lambda name: (t.spark.sparkContext.applicationId, t.directory, name)
-    missing = {name: fit for name, fit in fits.items() if key(name) not in _FITTED}
-    for name, model in f.fit_all(missing).items():
-        _FITTED[key(name)] = model
-    return {name: _FITTED[key(name)] for name in fits}
+    keys = {name: (t.spark.sparkContext.applicationId, t.directory, name) for name in fits}
+    with only_one(*keys.values()):
+        missing = {name: fit for name, fit in fits.items() if keys[name] not in _FITTED}
+        for name, model in f.fit_all(missing).items():
+            _FITTED[keys[name]] = model
+    return {name: _FITTED[keys[name]] for name in fits}
 
 
 def fitted(t, name: str, fit: Callable[[], object]):
@@ -99,12 +100,22 @@ def _holdout_model(t):
     return _boosted_model(t, f.PARAM_GRID[0], train, "boosted_holdout"), train, held
 
 
-def _dual_scorers(t, rows: DataFrame, name: str) -> tuple[f.Scorer, f.Scorer]:
-    def fit(target: str) -> f.Scorer:
-        return f.boosted_scorer(f.fit_boosted(rows, e.DUAL_FEATURES, target, f.DUAL_PARAMS), e.DUAL_FEATURES, t.spark)
+def _dual_models(t, rows: DataFrame, name: str) -> dict[str, object]:
+    """A model per target, fitted side by side."""
+
+    def fit(target: str):
+        return f.fit_boosted(rows, e.DUAL_FEATURES, target, f.DUAL_PARAMS)
 
     models = fitted_all(t, {f"dual_{name}_{v}": lambda v=v: fit(v) for v in ("revenue", "cogs")})
-    return models[f"dual_{name}_revenue"], models[f"dual_{name}_cogs"]
+    return {v: models[f"dual_{name}_{v}"] for v in ("revenue", "cogs")}
+
+
+def _dual_scorers(t, rows: DataFrame, name: str) -> tuple[f.Scorer, f.Scorer]:
+    models = _dual_models(t, rows, name)
+    return tuple(
+        fitted(t, f"dual_{name}_{v}_scorer", lambda m=m: f.boosted_scorer(m, e.DUAL_FEATURES, t.spark))
+        for v, m in models.items()
+    )
 
 
 # Linear ----------------------------------------------------------------------------------------
@@ -242,27 +253,12 @@ def b07(t):
 
 @query("F09_dual_one_step")
 def f09(t):
+    """Both models on the held-out days, with true lags."""
     train, held = b.tail_split(_dual(t), DUAL_HOLDOUT)
-    revenue, cogs = _dual_scorers(t, train, "holdout")
-    return _score_rows(held, {"revenue": revenue, "cogs": cogs})
-
-
-def _score_rows(rows: DataFrame, scorers: dict[str, f.Scorer]) -> DataFrame:
-    """Scored in Arrow batches: the arrays travel with the task, the rows never leave it."""
-    import numpy as np
-
-    names = {target: list(s.features) for target, s in scorers.items()}
-
-    def score(batches):
-        for pdf in batches:
-            out = pdf[["date", *scorers]].copy()
-            for target, scorer in scorers.items():
-                matrix = pdf[names[target]].to_numpy(dtype=float)
-                out[f"{target}_pred"] = np.array([scorer.predict(row) for row in matrix], dtype=float)
-            yield out
-
-    schema = ", ".join(["date date", *[f"{s} double" for s in scorers], *[f"{s}_pred double" for s in scorers]])
-    return rows.mapInPandas(score, schema)
+    scored = f.with_vector(held, e.DUAL_FEATURES)
+    for target, model in _dual_models(t, train, "holdout").items():
+        scored = model.transform(scored).withColumnRenamed("prediction", f"{target}_pred")
+    return scored.select("date", "revenue", "cogs", "revenue_pred", "cogs_pred")
 
 
 @query("F10_dual_recursive")
