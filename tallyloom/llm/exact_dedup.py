@@ -156,6 +156,8 @@ def exact_groups(docs: DataFrame, id_bytes: int = 16) -> DataFrame:
     """
     rows = recipes(docs, id_bytes).groupBy("doc_id", "text_sha256", "recipe").agg(F.count(F.lit(1)).alias("_rows"))
     groups = rows.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.sum("_rows").alias("group_size"))
+    # Written, so that the join below starts from plain shuffles, which adaptive execution can split.
+    groups = store(groups, "recipe-groups")
     each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_rows"))).alias("_copy")
     return (
         rows.join(groups, "recipe")
