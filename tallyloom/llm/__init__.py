@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("exact_dedup",)
+MODULES = ("exact_dedup", "mixing", "packing")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
