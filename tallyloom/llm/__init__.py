@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("exact_dedup", "mixing", "packing", "simhash")
+MODULES = ("exact_dedup", "quality", "mixing", "packing", "simhash")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
