@@ -5,6 +5,12 @@ so do, summed up, the numbers of set bits of their halves. Distinct fingerprints
 the set bits of their halves; only tiles that can hold a pair are compared. Inside a task the same
 bound, on each byte, skips pairs of smaller tiles before exclusive-or and bit count look at the rest.
 
+A fingerprint has one or more 64-bit words. With one word, two are linked within ``radius`` bits.
+More words estimate the similarity of the shingles; then the first word must be within ``first`` bits,
+which the tiles are dealt by, and all words together within ``radius``. ``SIMILAR`` is set for five
+words and a similarity of 0.8: half of the pairs at a similarity of 0.74 are linked, 96 of 100 at 0.8,
+and one in a thousand at 0.62.
+
 Equal fingerprints are one node from the start, so a group of copies of any size is one row in the
 comparison; linked nodes leave a task as stars, never as all pairs.
 
@@ -16,6 +22,7 @@ the smallest id. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
@@ -29,13 +36,31 @@ from tallyloom.llm.common import binary_text, components, slices, table
 from tallyloom.llm.local import Links
 from tallyloom.session import ship_package, store
 
-SHINGLE, SEED, RADIUS = 3, 42, 3
+SEED = 42
 #: Fingerprints of one tile at most; a task compares two tiles. Smaller tiles inside a task.
 TILE, SUBTILE = 1 << 17, 256
 _BYTES = np.uint64(0x0101010101010101)
 
 
-def shingle_hashes(text: bytes, width: int = SHINGLE, seed: int = SEED) -> bytes:
+@dataclass(frozen=True)
+class Measure:
+    """How fingerprints are made and when two of them are linked."""
+
+    width: int = 3
+    words: int = 1
+    radius: int = 3
+    first: int | None = None
+
+    @property
+    def near(self) -> int:
+        return self.radius if self.first is None else self.first
+
+
+STRICT = Measure()
+SIMILAR = Measure(width=5, words=8, radius=92, first=19)
+
+
+def shingle_hashes(text: bytes, width: int = 3, seed: int = SEED) -> bytes:
     """The hashes of all shingles, 8 big-endian bytes each."""
     digest = xxhash.xxh64_digest
     words = text.lower().split()  # bytes: A-Z and the six ASCII blanks only
@@ -49,13 +74,23 @@ def shingle_hashes(text: bytes, width: int = SHINGLE, seed: int = SEED) -> bytes
     return b"".join([digest(joined[a : b - 1], seed) for a, b in zip(starts, ends[width - 1 :])])
 
 
-def majority_bits(hashes: list[bytes]) -> np.ndarray:
-    """The fingerprint of each list of hashes: the bits set in over half of them.
+def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Other 64 bits of each hash, for the further words of a fingerprint; word 0 is the hash itself."""
+    if not word:
+        return hashes
+    x = hashes + np.uint64(word * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def majority_bits(hashes: list[bytes], words: int = 1) -> np.ndarray:
+    """The fingerprint (a row of words) of each list of hashes: the bits set in over half of them.
 
     Eight counters share a word: one bit of each byte is added up over runs of at most 255 hashes.
     """
     sizes = np.array([len(h) // 8 for h in hashes], dtype=np.int64)
-    out = np.zeros(len(hashes), dtype=np.uint64)
+    out = np.zeros((len(hashes), words), dtype=np.uint64)
     full = np.flatnonzero(sizes)
     if not len(full):
         return out
@@ -65,25 +100,28 @@ def majority_bits(hashes: list[bytes]) -> np.ndarray:
     owner = np.repeat(np.arange(len(full)), runs)
     first_run = np.concatenate(([0], np.cumsum(runs)))[:-1]
     starts = begin[owner] + 255 * (np.arange(len(owner)) - first_run[owner])
-    bits = np.zeros(len(full), dtype=np.uint64)
-    for k in range(8):
-        sums = np.add.reduceat((flat >> np.uint64(k)) & _BYTES, starts)
-        each = sums.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64)
-        counts = np.add.reduceat(each, first_run, axis=0)
-        on = (2 * counts > sizes[full][:, None]).astype(np.uint64)
-        for byte in range(8):
-            bits |= on[:, byte] << np.uint64(8 * byte + k)
-    out[full] = bits
+    for word in range(words):
+        mixed = _mixed(flat, word)
+        bits = np.zeros(len(full), dtype=np.uint64)
+        for k in range(8):
+            sums = np.add.reduceat((mixed >> np.uint64(k)) & _BYTES, starts)
+            each = sums.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64)
+            counts = np.add.reduceat(each, first_run, axis=0)
+            on = (2 * counts > sizes[full][:, None]).astype(np.uint64)
+            for byte in range(8):
+                bits |= on[:, byte] << np.uint64(8 * byte + k)
+        out[full, word] = bits
     return out
 
 
-def _fingerprints(width: int, seed: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.int64())])
+def _fingerprints(measure: Measure):
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            found = majority_bits([shingle_hashes(t, width, seed) for t in batch.column("_text").to_pylist()])
-            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(found.view(np.int64))]
+            hashes = [shingle_hashes(t, measure.width) for t in batch.column("_text").to_pylist()]
+            found = [row.tobytes() for row in majority_bits(hashes, measure.words).astype(">u8")]
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
@@ -93,13 +131,13 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, text_key (tells rows that share an id apart) and fp, a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, measure: Measure = STRICT) -> DataFrame:
+    """doc_id, text_key (tells rows that share an id apart) and fp, big-endian bytes."""
     ship_package(docs.sparkSession)
     source = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), binary_text().alias("_text")
     )
-    return source.mapInArrow(_fingerprints(width, seed), "doc_id bigint, text_key bigint, fp bigint")
+    return source.mapInArrow(_fingerprints(measure), "doc_id bigint, text_key bigint, fp binary")
 
 
 def _sub_tiles(fps: np.ndarray):
@@ -112,39 +150,44 @@ def _sub_tiles(fps: np.ndarray):
     return order, cuts, np.minimum.reduceat(ones, cuts), np.maximum.reduceat(ones, cuts)
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Stars (fingerprint, root) of the links within tile a, or between tiles a and b.
+def close_pairs(a: np.ndarray, b: np.ndarray | None, measure: Measure = STRICT) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (position, root) of the links within tile a, or between tiles a and b.
 
-    Positions of b follow those of a.
+    Rows are fingerprints. Positions of b follow those of a.
     """
-    order_a, cuts_a, low_a, high_a = tiles_a = _sub_tiles(a)
-    order_b, cuts_b, low_b, high_b = tiles_a if b is None else _sub_tiles(b)
-    sorted_a, sorted_b = a[order_a], (a if b is None else b)[order_b]
-    both, shift = (a, 0) if b is None else (np.concatenate((a, b)), len(a))
-    links = Links(len(both))
+    order_a, cuts_a, low_a, high_a = tiles_a = _sub_tiles(a[:, 0])
+    order_b, cuts_b, low_b, high_b = tiles_a if b is None else _sub_tiles(b[:, 0])
+    other_rows = a if b is None else b
+    sorted_a, sorted_b = a[order_a, 0], other_rows[order_b, 0]
+    shift = 0 if b is None else len(a)
+    links = Links(shift + len(other_rows))
     for i, start in enumerate(cuts_a):
         gap = np.maximum(low_b - high_a[i], 0) + np.maximum(low_a[i] - high_b, 0)
-        near = np.flatnonzero(gap.sum(axis=1) <= radius)
+        near = np.flatnonzero(gap.sum(axis=1) <= measure.near)
         mine = sorted_a[start : start + SUBTILE, None]
         for j in near[near >= i] if b is None else near:
             other = sorted_b[None, cuts_b[j] : cuts_b[j] + SUBTILE]
-            x, y = np.nonzero(np.bitwise_count(mine ^ other) <= radius)
+            x, y = np.nonzero(np.bitwise_count(mine ^ other) <= measure.near)
             if b is None and j == i:
                 x, y = x[x < y], y[x < y]
-            links.add(order_a[start + x], order_b[cuts_b[j] + y] + shift)
-    node, root = links.stars()
-    return both[node], both[root]
+            x, y = order_a[start + x], order_b[cuts_b[j] + y]
+            if measure.words > 1 and len(x):
+                differ = np.bitwise_count(a[x] ^ other_rows[y]).sum(axis=1)
+                x, y = x[differ <= measure.radius], y[differ <= measure.radius]
+            links.add(x, y + shift)
+    return links.stars()
 
 
-def _compare(radius: int):
+def _compare(measure: Measure):
     """Rows (lo, hi, side, fp) sorted by tile pair: stars of the links of each pair of tiles."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def links_of(side: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        fps = fps.view(np.uint64)
-        first, second = fps[side == 0], fps[side == 1]
-        a, b = close_pairs(first, second if len(second) else None, radius)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
+        rows = np.frombuffer(b"".join(fps), dtype=">u8").astype(np.uint64).reshape(-1, measure.words)
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = close_pairs(rows[first], rows[second] if len(second) else None, measure)
+        names = fps[np.concatenate((first, second))]
+        return pa.RecordBatch.from_arrays([pa.array(names[a], pa.binary()), pa.array(names[b], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
@@ -159,34 +202,41 @@ def _compare(radius: int):
                     yield links_of(*map(np.concatenate, zip(*held)))
                     held = []
                 key = here
-                held.append((side[start:stop], fp[start:stop].copy()))
+                held.append((side[start:stop].copy(), fp[start:stop]))
         if held:
             yield links_of(*map(np.concatenate, zip(*held)))
 
     return run
 
 
-def tile_pairs(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def tile_pairs(distinct: DataFrame, measure: Measure = STRICT, tile: int = TILE) -> DataFrame:
     """Rows (lo, hi, side, fp): every fingerprint once for each pair of tiles that it takes part in.
 
-    A cell is a pair of bit counts, of which there are at most 33 x 33; a cell above ``tile`` rows is
-    dealt to several tiles by hash. A pair of equal tiles has side 0 only.
+    A cell is a pair of bit counts of the halves of the first word, in steps of a third of the radius;
+    there are at most 33 x 33. A cell above ``tile`` rows is dealt to several tiles by hash. A pair of
+    equal tiles has side 0 only.
     """
     spark = distinct.sparkSession
-    low, high = F.bit_count(F.col("fp").bitwiseAND(0xFFFFFFFF)), F.bit_count(F.shiftrightunsigned("fp", 32))
-    celled = distinct.withColumn("cell", (high * 33 + low).cast("int"))
+    step = max(1, measure.near // 3)
+
+    def ones(at: int) -> Column:
+        half = F.conv(F.hex(F.substring("fp", at, 4)), 16, 10).cast("bigint")
+        return F.floor(F.bit_count(half) / step).cast("int")
+
+    def apart(c: int, d: int) -> int:
+        """Least difference in bit counts of two cells."""
+        return sum(max(0, (abs(x - y) - 1) * step + 1) for x, y in zip(divmod(c, 33), divmod(d, 33)) if x != y)
+
+    celled = distinct.withColumn("cell", ones(1) * 33 + ones(5))
     sizes = {r["cell"]: r["n"] for r in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     tiles = {c: -(-n // tile) for c, n in sizes.items()}
-    apart = [(x, y) for x in range(-radius, radius + 1) for y in range(-radius, radius + 1) if abs(x) + abs(y) <= radius]
-    near = []
-    for cell, count in tiles.items():
-        p, q = divmod(cell, 33)
-        others = [33 * (p + x) + q + y for x, y in apart if 0 <= p + x <= 32 and 0 <= q + y <= 32]
-        near.append((cell, count, [c << 32 | t for c in others for t in range(tiles.get(c, 0))]))
-    frame = spark.createDataFrame(near, "cell int, tiles bigint, others array<bigint>")
-    own = (F.shiftleft(F.col("cell").cast("bigint"), 32) + F.pmod(F.xxhash64("fp"), F.col("tiles"))).alias("own")
+    near = [
+        (c, n, [d << 32 | t for d in tiles if apart(c, d) <= measure.near for t in range(tiles[d])]) for c, n in tiles.items()
+    ]
     # One row per cell: at most 1089 of them.
-    pairs = celled.join(F.broadcast(frame), "cell").select("fp", own, F.explode("others").alias("other"))
+    frame = F.broadcast(spark.createDataFrame(near, "cell int, tiles bigint, others array<bigint>"))
+    own = (F.shiftleft(F.col("cell").cast("bigint"), 32) + F.pmod(F.xxhash64("fp"), F.col("tiles"))).alias("own")
+    pairs = celled.join(frame, "cell").select("fp", own, F.explode("others").alias("other"))
     return pairs.select(
         F.least("own", "other").alias("lo"),
         F.greatest("own", "other").alias("hi"),
@@ -195,18 +245,18 @@ def tile_pairs(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> D
     )
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def near_groups(docs: DataFrame, measure: Measure = STRICT, tile: int = TILE) -> DataFrame:
     """doc_id, text_key, fp, component_id and kept for every row.
 
-    component_id is the smallest id reachable over links of at most ``radius`` bits. ``kept`` marks the
+    component_id is the smallest id reachable over the links of ``measure``. ``kept`` marks the
     row with that id; where several texts share it, the one with the smallest key.
     """
-    rows = store(fingerprints(docs), "fingerprints")
+    rows = store(fingerprints(docs, measure), "fingerprints")
     # A null id stands behind all others.
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     nodes = store(rows.groupBy("fp").agg(F.min(place).alias("least")), "fingerprint-nodes")
-    dealt = tile_pairs(nodes.select("fp"), radius, tile).repartition("lo", "hi").sortWithinPartitions("lo", "hi")
-    roots = components(dealt.mapInArrow(_compare(radius), "a bigint, b bigint"))
+    dealt = tile_pairs(nodes.select("fp"), measure, tile).repartition("lo", "hi").sortWithinPartitions("lo", "hi")
+    roots = components(dealt.mapInArrow(_compare(measure), "a binary, b binary"))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     rooted = rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("first"))
@@ -218,13 +268,13 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
     )
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, measure: Measure = SIMILAR) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all their columns.
 
     The row with the smallest id stays. Of rows that repeat both id and text, the one whose other
     columns sort first stays.
     """
-    groups = store(near_groups(docs), "near-groups")
+    groups = store(near_groups(docs, measure), "near-groups")
     keys = [F.col("doc_id").alias("__near_id"), F.col("text_key").alias("__near_key")]
     match = docs["doc_id"].eqNullSafe(F.col("__near_id")) & (text_key() == F.col("__near_key"))
     single = docs.join(groups.filter("not kept").select(*keys).distinct(), match, "left_anti")
@@ -241,7 +291,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op10(spark: SparkSession, directory: str) -> DataFrame:
     groups = near_groups(table(spark, directory, "documents"))
-    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return groups.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {"op10_simhash": op10}
