@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("exact_dedup", "quality", "mixing", "packing", "sharding", "secret_scan", "language", "simhash")
+MODULES = ("exact_dedup", "quality", "mixing", "packing", "sharding", "secret_scan", "cover_tree", "language", "simhash")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
