@@ -14,11 +14,14 @@ packed as often as they occur. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +32,14 @@ from tallyloom.llm.common import binary_text, gapless_rank, slices, table
 from tallyloom.session import ship_package, store
 
 SEQUENCE, END_ID = 1024, 2
-#: Distinct words whose ids a task remembers before it starts to forget those unused of late.
-REMEMBERED = 250_000
-_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-_RUN = re.compile(r"\s\s")
+#: Distinct words whose ids a task remembers.
+REMEMBERED = 300_000
+#: White space that cannot stand before a word as its one space.
+_BREAK = re.compile(r"(\s\s+|[^\S ])")
+#: Parts of a word that byte-level vocabularies never merge across. No apostrophe: contractions differ.
+_PARTS = re.compile(r"[^\W\d_]+|[0-9]+|[!-&(-/:-@\[-`{-~]+")
+#: White space for Python only.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def default_tokenizer() -> str:
@@ -41,12 +48,44 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+class _Words(dict):
+    """Ids of words as packed 32-bit integers; what is not known yet is encoded when asked for."""
+
+    def __init__(self, space: str, merge, other):
+        super().__init__()
+        self.space, self.merge, self.other = space, merge, other
+        self.marks = {m: array("I", merge(m.encode())).tobytes() for m in ".,;:!?"} if merge else {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if word.isalpha():
+            found = array("I", self.merge((self.space + word).encode())).tobytes()
+        elif word[-1:] in self.marks and word[:-1].isalpha():
+            found = self[word[:-1]] + self.marks[word[-1]]
+        else:
+            found = self.other(self.space, word)
+        self[word] = found
+        return found
+
+
 class WordwiseEncoder:
     """Ids as packed 32-bit integers, looked up word by word.
 
     A byte-level vocabulary splits text before merging, and a single space between two other
-    characters always starts a new part. So the parts between such spaces can be encoded apart, and
-    most of them have been met before.
+    characters always starts a new part. So the words between such spaces can be encoded apart, and
+    many of them have been met before. Of a run of white space the last character stands before the
+    next word if it is a space, and alone if not; the others are one part.
+
+    Where the merges of the vocabulary are in the order of the ids, parts of letters, digits or marks
+    are merged by ``tiktoken`` from the same file, which is quicker; all else goes to ``tokenizers``.
     """
 
     def __init__(self, path: str):
@@ -54,31 +93,73 @@ class WordwiseEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [_BETWEEN.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
-        heads = self._raw([p[0] for p in parts])
-        if len(self.recent) > REMEMBERED:
-            self.older, self.recent = self.recent, {}
-        wanted: set[str] = set()
-        for p in parts:
-            wanted.update(p)
-        new = []
-        for word in wanted.difference(self.recent):
-            known = self.older.get(word)
-            if known is None:
-                new.append(word)
-            else:
-                self.recent[word] = known
-        self.recent.update(zip(new, self._raw([" " + w for w in new])))
-        look = self.recent.__getitem__
-        return [head + b"".join(map(look, p[1:])) for head, p in zip(heads, parts)]
+        self.merge = self._merger(path)
+        self.spaced = _Words(" ", self.merge, self.word)
+        self.bare = _Words("", self.merge, self.word)
+
+    @staticmethod
+    def _merger(path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            loaded = json.load(file)
+        vocabulary, merges = loaded["model"]["vocab"], loaded["model"]["merges"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        made = [vocabulary.get("".join(p), -1) for p in pairs]
+        splitter = (loaded.get("pre_tokenizer") or {}).get("type")
+        if splitter != "ByteLevel" or loaded.get("normalizer") or made != list(range(256, 256 + len(made))):
+            return None
+        letters = _byte_letters()
+        ranks = {
+            bytes(letters[c] for c in token): i
+            for token, i in vocabulary.items()
+            if i < 256 + len(made) and all(c in letters for c in token)
+        }
+        core = tiktoken.Encoding("packing", pat_str=r"\s+|\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        return core.encode_single_piece
+
+    def general(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def part(self, text: str) -> bytes:
+        return array("I", self.merge(text.encode())).tobytes()
+
+    def word(self, space: str, word: str) -> bytes:
+        if not word:
+            return self.part(space) if space else b""
+        parts = _PARTS.findall(word)
+        if sum(map(len, parts)) != len(word) or not all(p.isalpha() or p.isascii() for p in parts):
+            return self.general(space + word)
+        return self.part(space + parts[0]) + b"".join(map(self.part, parts[1:]))
+
+    def encode(self, text: str) -> bytes:
+        if self.merge is None or any(c in text for c in _SEPARATORS):
+            return self.general(text)
+        out, head = [], self.bare
+        pieces = _BREAK.split(text)
+        for at in range(0, len(pieces), 2):
+            first, *rest = pieces[at].split(" ")
+            if first or head is self.bare:
+                out.append(head[first])
+            out += map(self.spaced.__getitem__, rest)
+            if at + 1 < len(pieces):
+                run, head = pieces[at + 1], self.bare
+                if at + 2 == len(pieces) - 1 and not pieces[at + 2]:
+                    out.append(self.part(run))  # at the end of the text a run is one part
+                    break
+                if len(run) > 1:
+                    out.append(self.part(run[:-1]))
+                if run[-1] == " ":
+                    head = self.spaced
+                else:
+                    out.append(self.part(run[-1]))
+        return b"".join(out)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordwiseEncoder:
+    """One per worker process."""
+    return WordwiseEncoder(path)
 
 
 def piece_bounds(length: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -94,11 +175,11 @@ _PIECES = pa.schema(
 
 def _pieces(path: str, sequence: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordwiseEncoder(path)
+        words = encoder(path)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in slices(batches, "_text"):
             ids = batch.column("doc_id").to_pylist()
-            encoded = encoder.encode([t.decode("utf-8", "replace") for t in batch.column("_text").to_pylist()])
+            encoded = [words.encode(t.decode("utf-8", "replace")) for t in batch.column("_text").to_pylist()]
             rows = []
             for doc, packed in zip(ids, encoded):
                 packed += end
