@@ -62,10 +62,14 @@ def gapless_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_
     group = [*keys, "_bucket"]
     counts = bucketed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    shift = counts.select(*group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    shift = counts.select(
+        *[F.col(c).alias(f"_of_{c}") for c in group], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift")
+    )
     local = bucketed.withColumn("_local", F.row_number().over(W.partitionBy(*group).orderBy(*order)) - 1)
-    joined = local.join(shift, group)
-    return joined.withColumn("rank", F.col("_shift") + F.col("_local")).drop("_bucket", "_local", "_shift")
+    same = F.lit(True)
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return local.join(shift, same).select(*df.columns, (F.col("_shift") + F.col("_local")).alias("rank"))
 
 
 def components(edges: DataFrame) -> DataFrame:
