@@ -3,7 +3,8 @@
 ``percentile`` keeps every distinct value of a group in one task. That is right for a group
 bounded by the calendar (days of one series) and wrong for, say, all customers of one channel.
 ``exact_quantiles`` finds the same numbers by narrowing: count values in equal-width cells, keep
-the cells that hold a wanted rank, cut those again, and order only what is left.
+the cells that hold a wanted rank, cut those again, and order only what is left, in cells of bounded
+size.
 """
 
 from __future__ import annotations
@@ -33,56 +34,31 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     bins: int = 1024,
-    levels: int = 2,
-    direct_rows: int = 1_000_000,
+    cell_rows: int = 100_000,
 ) -> DataFrame:
     """One row per key with a column per entry of ``probs``; linear interpolation between ranks.
 
-    Equal values are counted together first, so a value shared by many rows is one row here.
-    The cells only steer the search: the answer is exact whatever the distribution. Null values
-    and null keys are left out. The counted values are written to the shared folder: up to
-    ``direct_rows`` of them fit any task and go straight to ``percentile``; more are read three
-    times, and each later level reads only what the one before kept.
+    Equal values are counted together first, so a value shared by many rows is one row here. Then the
+    cells that hold a wanted rank are cut into ``bins`` parts between their own least and largest value,
+    until none that is left has more than ``cell_rows`` values. Each round parts the ends of a cell, so
+    outliers cost rounds and never a large cell; the cells only steer the search, the answer is exact.
+    Null values and null keys are left out. What is left of a round is written to the shared folder.
     """
     keys = list(keys)
     if not keys:
         every = df.withColumn("_all", F.lit(1))
-        one = exact_quantiles(every, ["_all"], value, probs, bins, levels, direct_rows)
-        return one.drop("_all")
+        return exact_quantiles(every, ["_all"], value, probs, bins, cell_rows).drop("_all")
     x = df.select(*keys, F.col(value).cast("double").alias("_v"))
     for c in [*keys, "_v"]:
         x = x.filter(F.col(c).isNotNull())
-    x = x.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    x = store(x, "values")
-    if x.count() <= direct_rows:
-        return x.groupBy(*keys).agg(*[bounded_quantile("_v", p, "_n").alias(name) for name, p in probs.items()])
-    x = x.withColumn("_cell", F.lit(0).cast("long"))
+    x = store(x.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")), "values")
+    totals = x.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    # A cell is named by the number of values before it.
+    x = x.join(totals, keys).withColumn("_cell", F.lit(0).cast("long"))
     group = [*keys, "_cell"]
-    for level in range(levels):
-        span = x.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        width = F.col("_hi") - F.col("_lo")
-        share = F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), width), F.lit(0.0))
-        bin_no = F.least(F.floor(share * bins), F.lit(bins - 1).cast("long"))
-        x = (
-            x.join(span, group)
-            .withColumn("_parent", F.col("_cell"))
-            .withColumn("_cell", F.col("_cell") * bins + bin_no)
-            .drop("_lo", "_hi")
-        )
-        carried = ["_parent"] if level == 0 else ["_parent", "_before", "_total"]
-        cells = x.groupBy(*keys, *carried, "_cell").agg(F.sum("_n").alias("_c"))
-        within = W.partitionBy(*keys, "_parent")
-        running = F.sum("_c").over(within.orderBy("_cell").rowsBetween(W.unboundedPreceding, 0))
-        if level == 0:
-            cells = cells.withColumn("_total", F.sum("_c").over(within)).withColumn("_before", running - F.col("_c"))
-        else:
-            cells = cells.withColumn("_before", F.col("_before") + running - F.col("_c"))
-        start, end = F.col("_before"), F.col("_before") + F.col("_c")
-        wanted = F.lit(False)
-        for low, high, _ in _ranks(list(probs.values()), F.col("_total")):
-            wanted = wanted | ((low >= start) & (low < end)) | ((high >= start) & (high < end))
-        kept = cells.filter(wanted).select(*group, "_before", "_total")
-        x = store(x.drop("_before", "_total", "_parent").join(kept, group), "cells")
+    while largest_cell(x, group) > cell_rows:
+        x = store(_narrowed(x, keys, list(probs.values()), bins), "cells")
+    x = x.withColumn("_before", F.col("_cell"))
     ordered = W.partitionBy(*group).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     x = x.withColumn("_end", F.col("_before") + F.sum("_n").over(ordered))
     x = x.withColumn("_start", F.col("_end") - F.col("_n"))
@@ -101,6 +77,30 @@ def exact_quantiles(
     return out.select(*keys, *final)
 
 
+def largest_cell(x: DataFrame, group: Sequence[str]) -> int:
+    """Distinct values of the largest cell that is left."""
+    return x.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0] or 0
+
+
+def _narrowed(x: DataFrame, keys: Sequence[str], probs: Sequence[float], bins: int) -> DataFrame:
+    """Cut every cell and keep the parts that hold a wanted rank."""
+    group = [*keys, "_cell"]
+    span = x.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    # Halves first: the width of a cell may exceed the largest double.
+    share = F.try_divide(F.col("_v") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2)
+    part = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1).cast("long"))
+    x = x.join(span, group).withColumn("_part", F.when(F.col("_v") == F.col("_hi"), bins - 1).otherwise(part)).drop("_lo", "_hi")
+    cells = x.groupBy(*group, "_part", "_total").agg(F.sum("_n").alias("_c"))
+    running = F.sum("_c").over(W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, 0))
+    cells = cells.withColumn("_start", F.col("_cell") + running - F.col("_c"))
+    start, end = F.col("_start"), F.col("_start") + F.col("_c")
+    wanted = F.lit(False)
+    for low, high, _ in _ranks(probs, F.col("_total")):
+        wanted = wanted | ((low >= start) & (low < end)) | ((high >= start) & (high < end))
+    kept = cells.filter(wanted).select(*group, "_part", "_start")
+    return x.join(kept, [*group, "_part"]).select(*keys, "_v", "_n", "_total", F.col("_start").alias("_cell"))
+
+
 def bounded_quantile(value: str | Column, p: float, frequency: str | Column | None = None) -> Column:
     """Exact percentile as an aggregate, for groups whose distinct values are few by nature.
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.expr import ratio
@@ -48,20 +47,16 @@ def metrics(
 ) -> DataFrame:
     """Mean absolute error, root mean squared error and R² per group.
 
-    The total sum of squares is taken around the group's own mean in a second look at the rows, so
-    large values do not cancel; a group without variance has no R². Groups are the days of a fold.
+    The variance is an aggregate that does not cancel large values, so one pass over groups of any size
+    is enough; a group without variance has no R².
     """
     by = list(by)
-    mean = F.avg(actual).over(W.partitionBy(*by) if by else W.partitionBy(F.lit(0)))
     error = F.col(actual) - F.col(predicted)
-    squared = predictions.withColumn("_e", error).withColumn("_d", F.col(actual) - mean)
-    return (
-        squared.groupBy(*by)
-        .agg(
-            F.avg(F.abs("_e")).alias("mae"),
-            F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),
-            (F.lit(1.0) - ratio(F.sum(F.col("_e") * F.col("_e")), F.sum(F.col("_d") * F.col("_d")))).alias("r2"),
-        )
+    squared = F.avg(error * error)
+    return predictions.groupBy(*by).agg(
+        F.avg(F.abs(error)).alias("mae"),
+        F.sqrt(squared).alias("rmse"),
+        (F.lit(1.0) - ratio(squared, F.var_pop(actual))).alias("r2"),
     )
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.expr import money, net_value
-from tallyloom.functions.joins import fits_broadcast
 
 
 def order_totals(items: DataFrame, value: Column | None = None) -> DataFrame:
@@ -66,20 +65,15 @@ def by_product_attribute(per_product: DataFrame, products: DataFrame, attribute:
 def sales_by_day(items: DataFrame, orders: DataFrame, products: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Daily revenue and cost of goods, optionally per product attribute.
 
-    A product table that passes the size check travels to the lines, which are then summed to days
-    at once. A larger one meets them after they are summed to (day, product), so that a best-seller
-    reaches that join as one row per day however many lines it has.
+    Products meet the lines after these are summed to (day, product), so that a best-seller reaches that
+    join as one row per day however many lines it has.
     """
     lines = items.select("order_id", "product_id", "quantity", money(net_value()).alias("net"))
     dated = orders.select("order_id", F.col("order_date").alias("date"))
     products = products.select("product_id", "cogs", *keys)
     cost = money(F.col("quantity") * F.col("cogs"))
-    if fits_broadcast(products):
-        detailed = lines.join(F.broadcast(products), "product_id").join(dated, "order_id")
-    else:
-        per_product = lines.join(dated, "order_id").groupBy("date", "product_id")
-        per_product = per_product.agg(F.sum("net").alias("net"), F.sum("quantity").alias("quantity"))
-        detailed = per_product.join(products, "product_id")
-    return detailed.groupBy(*keys, "date").agg(
+    per_product = lines.join(dated, "order_id").groupBy("date", "product_id")
+    per_product = per_product.agg(F.sum("net").alias("net"), F.sum("quantity").alias("quantity"))
+    return per_product.join(products, "product_id").groupBy(*keys, "date").agg(
         F.sum("net").cast("double").alias("revenue"), F.sum(cost).cast("double").alias("cogs")
     )

@@ -20,7 +20,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.expr import calendar_columns
+from tallyloom.functions.expr import calendar_columns, ratio
 from tallyloom.functions.series import series_window
 from tallyloom.operators import features as feats
 from tallyloom.operators.decompose import unfold_horizon
@@ -115,7 +115,7 @@ def seasonal_naive(
 
 def _partitions_for(rows: int) -> int:
     """Boosting runs a job per tree level: as few partitions as the rows fill, not more."""
-    return max(1, min(2000, rows // 50_000))
+    return max(1, rows // 50_000)
 
 
 def with_vector(df: DataFrame, features: Sequence[str], name: str = "features") -> DataFrame:
@@ -279,7 +279,7 @@ def _with_future(
         *keys, "date", *[F.col(v).cast("double").alias(v) for v in values]
     )
     ends = train.groupBy(*keys).agg(F.max("date").alias("last_date"), F.count(F.lit(1)).alias("_n"))
-    ahead = unfold_horizon(ends.filter(F.col("_n") >= feats.MAX_LAG), days)
+    ahead = unfold_horizon(ends, days)
     known = {**calendar_columns(), "trend_idx": (F.col("_n") + F.col("step") - 1).cast("double")}
     names = list(known)
     ahead = ahead.withColumns(known)
@@ -304,12 +304,24 @@ def _keyed(train: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]
     return (train, list(keys)) if keys else (train.withColumn("_series", F.lit("all")), ["_series"])
 
 
+#: How a rollout came about.
+BY_MODEL, SHORT_HISTORY = "model", "short_history"
+
+
+def _repeat_last_week(history: np.ndarray, known: int) -> None:
+    """Fill the days ahead with the last week, or with what there is of it; never below zero."""
+    season = min(7, known)
+    for i in range(known, len(history)):
+        history[i] = max(history[i - season], 0.0)
+
+
 def recursive_forecast(
     train: DataFrame, days: int, scorer: Scorer, value: str = "revenue", keys: Sequence[str] = ()
 ) -> DataFrame:
     """One target, day after day, each prediction becoming history; never below zero.
 
-    Series with less than a year of history are left out.
+    A series with less than a year of history has no features for the model: it repeats its last week
+    and says so in ``status``.
     """
     train, keys = _keyed(train, keys)
     profiles = any(p in scorer.features for p in feats.PROFILES)
@@ -321,14 +333,20 @@ def recursive_forecast(
         ahead = pdf[pdf[names[0]].notna()]
         history = np.empty(len(past) + len(ahead))
         history[: len(past)] = past[value]
-        for i, known in enumerate(ahead[names].to_dict("records"), start=len(past)):
-            row = _single_row(known, history[:i])
-            history[i] = max(scorer.predict(np.array([row[f] for f in scorer.features])), 0.0)
+        short = len(past) < feats.MAX_LAG
+        if short:
+            _repeat_last_week(history, len(past))
+        else:
+            for i, known in enumerate(ahead[names].to_dict("records"), start=len(past)):
+                row = _single_row(known, history[:i])
+                history[i] = max(scorer.predict(np.array([row[f] for f in scorer.features])), 0.0)
         out = ahead[[*keys, "date"]].copy()
         out["predicted"] = history[len(past) :]
+        out["status"] = SHORT_HISTORY if short else BY_MODEL
         return out
 
-    out = frame.groupBy(*keys).applyInPandas(roll, f"{_key_schema(train, keys)}date date, predicted double")
+    schema = f"{_key_schema(train, keys)}date date, predicted double, status string"
+    out = frame.groupBy(*keys).applyInPandas(roll, schema)
     return out.drop("_series")
 
 
@@ -360,16 +378,20 @@ def recursive_dual_forecast(
         n = len(past)
         rev, cost = np.empty(n + len(ahead)), np.empty(n + len(ahead))
         rev[:n], cost[:n] = past["revenue"], past["cogs"]
-        for i, known in enumerate(ahead[names].to_dict("records"), start=n):
+        short = n < feats.MAX_LAG
+        if short:
+            _repeat_last_week(rev, n), _repeat_last_week(cost, n)
+        for i, known in enumerate([] if short else ahead[names].to_dict("records"), start=n):
             row = _dual_row(known, rev[:i], cost[:i])
             x = np.array([row[f] for f in revenue.features])
             rev[i] = max(revenue.predict(x), 0.0)
             cost[i] = max(cogs.predict(x), 0.0)
         out = ahead[[*keys, "date"]].copy()
         out["revenue_raw"], out["cogs_raw"] = rev[n:], cost[n:]
+        out["status"] = SHORT_HISTORY if short else BY_MODEL
         return out
 
-    schema = f"{_key_schema(train, keys)}date date, revenue_raw double, cogs_raw double"
+    schema = f"{_key_schema(train, keys)}date date, revenue_raw double, cogs_raw double, status string"
     return frame.groupBy(*keys).applyInPandas(roll, schema).drop("_series")
 
 
@@ -377,27 +399,29 @@ def recursive_dual_forecast(
 
 
 def align(forecasts: dict[str, DataFrame], keys: Sequence[str] = (), value: str = "predicted") -> DataFrame:
-    """Forecasts side by side, matched on series and date."""
+    """Forecasts side by side, matched on series and date; null where one has no value for the day."""
     out = None
     for name, df in forecasts.items():
         part = df.select(*keys, "date", F.col(value).alias(name))
-        out = part if out is None else out.join(part, [*keys, "date"])
+        out = part if out is None else out.join(part, [*keys, "date"], "full")
     return out
 
 
 def blend(model: str | Column, seasonal: str | Column, alpha: float | Column) -> Column:
-    """alpha * model + (1 - alpha) * seasonal."""
+    """alpha * model + (1 - alpha) * seasonal; where one is missing, the other."""
     model = F.col(model) if isinstance(model, str) else model
     seasonal = F.col(seasonal) if isinstance(seasonal, str) else seasonal
     alpha = F.lit(alpha) if isinstance(alpha, float) else alpha
-    return alpha * model + (F.lit(1.0) - alpha) * seasonal
+    return F.coalesce(alpha * model + (F.lit(1.0) - alpha) * seasonal, model, seasonal)
 
 
 def equal_weight(names: Sequence[str]) -> Column:
-    total = F.col(names[0])
-    for n in names[1:]:
-        total = total + F.col(n)
-    return total / F.lit(float(len(names)))
+    """The mean of the forecasts that there are for the day."""
+    total, known = F.lit(0.0), F.lit(0.0)
+    for n in names:
+        total = total + F.coalesce(F.col(n), F.lit(0.0))
+        known = known + F.col(n).isNotNull().cast("double")
+    return ratio(total, known)
 
 
 def post_process(df: DataFrame, revenue: str, cogs: str, cap: float = 0.999) -> DataFrame:

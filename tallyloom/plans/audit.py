@@ -395,7 +395,7 @@ def q21(t):
     return a.union_all(
         [
             a.window_check(t.sales(), "sales", *t.sales_window),
-            a.window_check(t.horizon(548), "horizon", *t.horizon_window),
+            a.window_check(t.horizon(), "horizon", *t.horizon_window),
         ]
     )
 
@@ -417,9 +417,8 @@ _NAIVE_548 = """(select cast(hi + to_days(cast(h as integer)) as date) as date,
 def q22(t):
     from tallyloom.operators.forecast import seasonal_naive
 
-    template = t.horizon(548)
-    forecast = seasonal_naive(daily_sales(t), 548, 7)
-    return a.output_contract(template, forecast, "predicted", "weekly_naive_548_days")
+    forecast = seasonal_naive(daily_sales(t), t.horizon_days, 7)
+    return a.output_contract(t.horizon(), forecast, "predicted", f"weekly_naive_{t.horizon_days}_days")
 
 
 @query(

@@ -58,7 +58,7 @@ VIEWS: dict[str, str] = {
              when '4' then 'bank_transfer' when '5' then 'wallet' end as payment_method,
         case substr(o_orderpriority, 1, 1) when '1' then 'view' when '2' then 'click' when '3' then 'signup'
              when '4' then 'purchase' when '5' then 'error' end as order_source
-        from orders join customer on o_custkey = c_custkey""",
+        from orders left join customer on o_custkey = c_custkey""",
     "v_order_items": """select l_orderkey as order_id, l_partkey as product_id,
         cast(l_quantity as bigint) as quantity, l_extendedprice / l_quantity as unit_price,
         l_extendedprice * l_discount as discount_amount,

@@ -102,7 +102,7 @@ def s09(t):
 def s10(t):
     from tallyloom.operators.forecast import seasonal_naive
 
-    template = t.horizon(548)
+    template = t.horizon()
     return writers.ordered_export(template, seasonal_naive(daily_sales(t), 548, 7), [], ["predicted"])
 
 

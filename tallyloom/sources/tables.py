@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,8 +117,11 @@ class StarTables:
         )
 
     def orders_with_zip(self) -> DataFrame:
-        """The zip is the customer's, so this view costs a join; ask for it only where zip is used."""
-        return self.orders().join(self.customers().select("customer_id", "zip"), "customer_id")
+        """The zip is the customer's, so this view costs a join; ask for it only where zip is used.
+
+        An order of an unknown customer stays, without a zip.
+        """
+        return self.orders().join(self.customers().select("customer_id", "zip"), "customer_id", "left")
 
     def order_items(self) -> DataFrame:
         pct = F.round(F.col("l_discount") * 100).cast("int")
@@ -227,7 +231,10 @@ class StarTables:
             ratio(F.lit(1500), sold).alias("days_of_supply"),
         )
 
-    def horizon(self, days: int) -> DataFrame:
+    #: Days that a forecast covers; a CSV folder says so by its template.
+    horizon_days = 548
+
+    def horizon(self, days: int = horizon_days) -> DataFrame:
         """Forecast template: the days after the last order day, numbered from 1."""
         last = self.orders().agg(F.max("order_date").alias("last_date"))
         return last.select(
@@ -272,12 +279,22 @@ class CsvTables:
             return self.table("sales").filter(F.col("date").isNotNull())
         return sales_by_day(self.table("order_items"), self.table("orders"), self.table("products"), keys)
 
-    def horizon(self, days: int) -> DataFrame:
-        """The template file in its own row order; ``days`` is what the file holds."""
+    @property
+    def horizon_days(self) -> int:
+        """Rows of the template file, counted once."""
+        if "_horizon_days" not in self.__dict__:
+            self._horizon_days = self.table("sample_submission").count()
+        return self._horizon_days
+
+    def horizon(self) -> DataFrame:
+        """Every row of the template, numbered from 1 by date; rows of one date follow each other.
+
+        Files may be many and are read in any order, so the date says where a row belongs. The one
+        window holds the template, which has a row per day of the forecast.
+        """
         rows = self.table("sample_submission").select("date")
-        return rows.select((F.monotonically_increasing_id() + 1).cast("int").alias("row_id"), "date").filter(
-            F.col("row_id") <= days
-        )
+        place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.col("date").asc_nulls_last()))
+        return rows.select(place.cast("bigint").alias("row_id"), "date")
 
     def __getattr__(self, name: str) -> Callable[[], DataFrame]:
         if name in REGISTRY.tables:

@@ -151,10 +151,16 @@ def test_dual_rollout_feeds_both_targets(panel):
         assert got[s] == pytest.approx(want[s], rel=1e-9)
 
 
-def test_series_without_a_year_of_history_is_left_out(panel, linear):
+def test_series_without_a_year_of_history_repeats_its_last_week(panel, linear):
     short = panel.filter((F.col("series") == "a") | (F.col("date") > START + dt.timedelta(days=DAYS - 100)))
-    got = f.recursive_forecast(short, 5, linear[1], "revenue", KEYS)
-    assert {r.series for r in got.collect()} == {"a"}
+    got = f.recursive_forecast(short, 9, linear[1], "revenue", KEYS).orderBy("series", "date").collect()
+    assert {(r.series, r.status) for r in got} == {("a", f.BY_MODEL), ("b", f.SHORT_HISTORY)} and len(got) == 18
+    week = [r.revenue for r in panel.filter("series = 'b'").orderBy(F.col("date").desc()).limit(7).collect()][::-1]
+    assert [r.predicted for r in got if r.series == "b"] == pytest.approx([*week, *week][:9])
+    # A candidate without a value for a day does not take the others with it.
+    wide = f.align({"model": f.recursive_forecast(short, 9, linear[1], "revenue", KEYS), "year": f.seasonal_naive(short, 9, 365, "revenue", KEYS)}, KEYS)
+    mean = wide.withColumn("mean", f.equal_weight(["model", "year"])).filter("series = 'b'").collect()
+    assert len(mean) == 9 and all(r["mean"] is not None for r in mean)
 
 
 def test_post_processing_caps_cost_below_revenue(spark):

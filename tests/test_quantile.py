@@ -15,7 +15,7 @@ def expected(values):
 def check(spark, groups, **kwargs):
     rows = [(k, float(v)) for k, values in groups.items() for v in values]
     df = spark.createDataFrame(rows, "k string, v double")
-    kwargs.setdefault("direct_rows", 0)
+    kwargs.setdefault("cell_rows", 3)
     got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", PROBS, **kwargs).collect()}
     assert set(got) == set(groups)
     for k, values in groups.items():
@@ -40,11 +40,23 @@ def test_groups_of_every_shape(spark):
 
 def test_few_bins_and_many_levels(spark):
     rng = np.random.default_rng(2)
-    check(spark, {"a": rng.random(300), "b": rng.integers(0, 5, 300)}, bins=2, levels=3)
+    check(spark, {"a": rng.random(300), "b": rng.integers(0, 5, 300)}, bins=2)
 
 
-def test_small_inputs_go_straight_to_percentile(spark):
-    check(spark, {"a": [1.0, 5.0, 5.0, 9.0], "b": [2.0]}, direct_rows=100)
+def test_small_inputs_need_no_round(spark):
+    check(spark, {"a": [1.0, 5.0, 5.0, 9.0], "b": [2.0]}, cell_rows=100)
+
+
+def test_tiers_of_outliers_leave_no_large_cell(spark, monkeypatch):
+    """A body of 0 to 1000 below values of 1e8 and 1e12: the last cells stay small."""
+    from tallyloom.functions import quantile
+
+    seen = []
+    real = quantile.largest_cell
+    monkeypatch.setattr(quantile, "largest_cell", lambda x, g: seen.append(real(x, g)) or seen[-1])
+    rng = np.random.default_rng(4)
+    check(spark, {"a": [*(rng.random(20_000) * 1000), 1e8, 1e12]}, cell_rows=500)
+    assert len(seen) > 2 and seen[-1] <= 500
 
 
 def test_nulls_are_left_out_and_no_key_is_one_group(spark):

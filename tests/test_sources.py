@@ -55,23 +55,51 @@ def test_export_keeps_template_order_and_shows_missing_days(spark):
     assert [(r.row_id, r.date, r.v) for r in got] == [(1, "2020-01-03", 3.0), (2, "2020-01-01", 1.0), (3, "2020-01-02", None)]
 
 
-def test_sales_is_the_same_with_and_without_broadcast(spark, tables):
-    small = {tuple(r) for r in tables.sales(keys=("segment",)).collect()}
-    plan = tables.sales()._jdf.queryExecution().executedPlan().toString()
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        large = {tuple(r) for r in tables.sales(keys=("segment",)).collect()}
-        large_plan = tables.sales()._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert small == large
-    assert "BroadcastHashJoin" in plan and "BroadcastHashJoin" not in large_plan
-
-
-def test_size_settings():
-    from tallyloom.functions.joins import _bytes
-
-    assert [_bytes(x) for x in ("10485760b", "10MB", "-1", "64k", "1g")] == [10485760, 10485760, -1, 65536, 2**30]
+def test_lines_are_summed_before_they_meet_products(spark, tables):
+    plan = tables.sales(keys=("segment",))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line or "Aggregate" in line]
+    assert "Aggregate" in joins[0] and "Join" in joins[1] and "Aggregate" in joins[2]
+
+
+def test_a_template_of_any_length_and_number_of_files(spark, tmp_path):
+    from tallyloom.sources.tables import CsvTables
+
+    days = [dt.date(2023, 1, 1) + dt.timedelta(i) for i in range(600)]
+    for k in range(3):
+        rows = [(d, 0.0, 0.0) for d in days[k::3]]
+        spark.createDataFrame(rows, "Date date, Revenue double, COGS double").coalesce(1).write.mode("append").option(
+            "header", True
+        ).csv(str(tmp_path / "sample_submission.csv"))
+    t = CsvTables(spark, str(tmp_path))
+    got = t.horizon().orderBy("row_id").collect()
+    assert [r.date for r in got] == days and [r.row_id for r in got] == list(range(1, 601)) and t.horizon_days == 600
+
+
+def test_an_order_without_customer_is_blamed_on_the_order(spark, tables, monkeypatch):
+    """It stays in the view, so its lines have a parent and its own key is what fails."""
+    from tallyloom.operators.audit import foreign_key_report
+    from tallyloom.sources.tables import StarTables
+
+    real = StarTables.base
+
+    def planted(self, name):
+        df = real(self, name)
+        if name != "orders":
+            return df
+        row = df.orderBy("o_orderkey").limit(1).selectExpr(
+            "o_orderkey", "cast(-1 as long) as o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
+        )
+        return df.join(row.select("o_orderkey"), "o_orderkey", "left_anti").unionByName(row)
+
+    def report():
+        views = {n: tables.orders_with_zip() if n == "orders" else tables.table(n) for n in ("orders", "customers", "geography", "order_items", "products", "promotions")}
+        return {(r.child_table, r.child_column): r.invalid_fk_count for r in foreign_key_report(REGISTRY.foreign_keys, views).collect()}
+
+    before = report()
+    monkeypatch.setattr(StarTables, "base", planted)
+    after = report()
+    assert after["orders", "customer_id"] == before["orders", "customer_id"] + 1
+    assert after["order_items", "order_id"] == before["order_items", "order_id"]
 
 
 def test_a_section_writes_all_its_tables(spark, tmp_path):
