@@ -153,18 +153,27 @@ def has_time_part(c: str) -> Column:
 
 
 def date_coverage(tables: Mapping[str, DataFrame], date_columns: Mapping[str, Sequence[str]]) -> DataFrame:
-    """First and last date, values that do not parse, and time-of-day parts, per date column."""
+    """First and last date, values that do not parse, and time-of-day parts, per date column.
 
-    def one(table: str, df: DataFrame, c: str) -> DataFrame:
-        parsed = parse_date(c)
-        return df.agg(
-            F.min(parsed).alias("min_date"),
-            F.max(parsed).alias("max_date"),
-            F.count_if(parsed.isNull() & F.col(c).isNotNull()).alias("parse_fail_count"),
-            has_time_part(c).alias("has_time_component"),
-        ).select(F.lit(table).alias("table"), F.lit(c).alias("column"), "*")
+    All date columns of a table come from one pass over it.
+    """
+
+    def one(table: str, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        lines = []
+        for c in columns:
+            parsed = parse_date(c)
+            lines.append(
+                F.struct(
+                    F.lit(c).alias("column"),
+                    F.min(parsed).alias("min_date"),
+                    F.max(parsed).alias("max_date"),
+                    F.count_if(parsed.isNull() & F.col(c).isNotNull()).alias("parse_fail_count"),
+                    has_time_part(c).alias("has_time_component"),
+                )
+            )
+        return df.agg(F.array(*lines).alias("_lines")).select(F.lit(table).alias("table"), F.inline("_lines"))
 
-    return union_all(one(n, tables[n], c) for n, cols in date_columns.items() if n in tables for c in cols)
+    return union_all(one(n, tables[n], cols) for n, cols in date_columns.items() if n in tables)
 
 
 # Check rows ------------------------------------------------------------------------------------
@@ -317,6 +326,17 @@ def unique_grain(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
     return check_row(duplicate_count(df, columns), "cardinality", name, F.sum("duplicate_count"))
 
 
+def foreign_key_rows(report: DataFrame) -> DataFrame:
+    """The foreign keys as check rows."""
+    return report.select(
+        F.lit("foreign_key").alias("check_group"),
+        F.concat_ws(".", "child_table", "child_column").alias("check_name"),
+        "status",
+        F.col("invalid_fk_count").alias("failures"),
+        F.concat(F.lit("checked_rows="), F.col("checked_rows").cast("string")).alias("details"),
+    )
+
+
 def roll_up(checks: DataFrame) -> DataFrame:
     """Checks per group and status, with the rows that failed."""
     return checks.groupBy("check_group", "status").agg(
@@ -351,17 +371,18 @@ def output_contract(template: DataFrame, forecast: DataFrame, value: str, name:
     return check_row(joined, "forecast", name, missing + repeated + empty, details)
 
 
-def fold_completeness(in_folds: DataFrame, horizon: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows of each series in each fold against the horizon."""
-    return in_folds.groupBy(*keys, "fold_id").agg(F.count(F.lit(1)).alias("rows")).withColumn(
-        "status", F.when(F.col("rows") == horizon, "PASS").otherwise("FAIL")
-    )
+def fold_completeness(in_folds: DataFrame, horizon: int, keys: Sequence[str] = (), n_folds: int = 3) -> DataFrame:
+    """Rows of each series in each expected fold against the horizon; a fold without rows fails."""
+    rows = [F.count_if(F.col("fold_id") == k).alias(f"_{k}") for k in range(1, n_folds + 1)]
+    lines = [F.struct(F.lit(k).alias("fold_id"), F.col(f"_{k}").alias("rows")) for k in range(1, n_folds + 1)]
+    counted = in_folds.groupBy(*keys).agg(*rows).select(*keys, F.inline(F.array(*lines)))
+    return counted.withColumn("status", F.when(F.col("rows") == horizon, "PASS").otherwise("FAIL"))
 
 
 def enough_history(df: DataFrame, max_lag: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows of each series and whether lag features can be built from them."""
+    """Days of each series and whether a forecast can use lag features, as the rollout asks."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).withColumn(
-        "has_history", F.col("rows") > max_lag
+        "has_history", F.col("rows") >= max_lag
     )
 
 

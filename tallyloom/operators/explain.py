@@ -17,7 +17,8 @@ from tallyloom.operators.forecast import SEED, with_vector
 
 REPEATS = 8
 GRID_POINTS = 9
-ROWS_PER_BLOCK = 200_000
+#: Buckets of the circle of a repeat: 2 to the power of this, at any size.
+BUCKET_BITS = 12
 
 
 def feature_importance(model: GBTRegressionModel, features: Sequence[str], spark, top_n: int | None = None) -> DataFrame:
@@ -61,25 +62,29 @@ def permutation_importance(
 ) -> DataFrame:
     """Rise of the error when one feature is shuffled, mean and deviation over the repeats.
 
-    Each (feature, repeat) pairs the rows in a random circle: every row takes the feature of the
-    row before it in the order of a seeded hash. Above ``ROWS_PER_BLOCK`` rows the circles are
-    drawn within random blocks, so that no task ever orders the whole holdout.
+    A repeat puts the rows in a circle, in the order of a seeded hash; every row takes the feature of the
+    row before it. All features share the circle of a repeat, so a row travels once per repeat, with its
+    whole array, and is unfolded to features after that. Positions in the circle are counted per bucket
+    of the hash, whatever the number of rows, so no task orders them all.
     """
     order = F.array(*[F.col(f).cast("double") for f in features])
     base = holdout.select(F.col(target).cast("double").alias("_y"), order.alias("_x"))
     # A row number that does not depend on how the rows are spread: a hash of the row itself.
     base = base.withColumn("_id", F.xxhash64("_x", "_y"))
-    blocks = max(1, holdout.count() // ROWS_PER_BLOCK)
-    trials = base.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1)))).withColumn(
-        "_r", F.explode(F.sequence(F.lit(1), F.lit(repeats)))
-    )
-    trials = trials.withColumn("_block", F.pmod(F.xxhash64("_id", "_r", F.lit(seed)), F.lit(blocks)))
-    circle = W.partitionBy("_f", "_r", "_block").orderBy(F.xxhash64("_id", "_f", "_r", F.lit(seed + 1)), "_id")
-    own = F.element_at("_x", F.col("_f") + 1)
-    every = circle.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    shuffled = trials.withColumn(
-        "_v", F.coalesce(F.lag(own).over(circle), F.last(own).over(every))
-    ).withColumn("_x", _replaced("_f", "_v"))
+    trials = base.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    trials = trials.withColumn("_h", F.xxhash64("_id", "_r", F.lit(seed)))
+    trials = trials.withColumn("_bucket", F.shiftrightunsigned("_h", 64 - BUCKET_BITS).cast("int"))
+    counts = trials.groupBy("_r", "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    in_repeat = W.partitionBy("_r")
+    until = F.sum("_c").over(in_repeat.orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0))
+    starts = counts.select("_r", "_bucket", (until - F.col("_c")).alias("_start"), F.sum("_c").over(in_repeat).alias("_n"))
+    local = F.row_number().over(W.partitionBy("_r", "_bucket").orderBy("_h", "_id"))
+    placed = trials.withColumn("_local", local).join(starts, ["_r", "_bucket"])
+    placed = placed.withColumn("_place", F.col("_start") + F.col("_local") - 1).select("_r", "_place", "_n", "_x", "_y")
+    donors = placed.select("_r", F.pmod(F.col("_place") + 1, F.col("_n")).alias("_place"), F.col("_x").alias("_other"))
+    pairs = placed.join(donors, ["_r", "_place"])
+    unfolded = pairs.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
+    shuffled = unfolded.withColumn("_v", F.element_at("_other", F.col("_f") + 1)).withColumn("_x", _replaced("_f", "_v"))
     scored = _score(model, shuffled)
     error = (F.col("_y") - F.col("_p")) * (F.col("_y") - F.col("_p"))
     per_trial = scored.groupBy("_f", "_r").agg(F.sqrt(F.avg(error)).alias("rmse"))

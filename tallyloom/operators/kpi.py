@@ -27,7 +27,7 @@ def daily_revenue(sales: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def monthly_revenue(sales: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    return sales.groupBy(*keys, month_of("date").alias("month")).agg(
+    return sales.filter(F.col("date").isNotNull()).groupBy(*keys, month_of("date").alias("month")).agg(
         money_sum("revenue").alias("revenue"),
         money_sum("cogs").alias("cogs"),
         money_sum(F.col("revenue") - F.col("cogs")).alias("gross_profit"),
@@ -37,7 +37,7 @@ def monthly_revenue(sales: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def month_seasonality(sales: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean and median daily revenue per calendar month; groups are days, so the median is bounded."""
-    return sales.groupBy(*keys, F.month("date").alias("month_num")).agg(
+    return sales.filter(F.col("date").isNotNull()).groupBy(*keys, F.month("date").alias("month_num")).agg(
         money_avg("revenue").alias("avg_revenue"), F.median("revenue").alias("median_revenue")
     )
 
@@ -75,13 +75,13 @@ def category_revenue(items: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def segment_margin(products: DataFrame) -> DataFrame:
-    return products.groupBy("segment").agg(
+    return products.filter(F.col("segment").isNotNull()).groupBy("segment").agg(
         F.avg(margin_rate()).alias("avg_margin_rate"), F.count_distinct("product_id").alias("n_products")
     )
 
 
 def return_reason_counts(returns: DataFrame) -> DataFrame:
-    return returns.groupBy("return_reason").agg(F.count("return_id").alias("return_records"))
+    return returns.filter(F.col("return_reason").isNotNull()).groupBy("return_reason").agg(F.count("return_id").alias("return_records"))
 
 
 def return_rate_by_category(returns: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
@@ -96,11 +96,11 @@ def return_rate_by_category(returns: DataFrame, items: DataFrame, products: Data
 
 
 def rating_distribution(reviews: DataFrame) -> DataFrame:
-    return reviews.groupBy("rating").agg(F.count("review_id").alias("review_count"))
+    return reviews.filter(F.col("rating").isNotNull()).groupBy("rating").agg(F.count("review_id").alias("review_count"))
 
 
 def inventory_health(inventory: DataFrame) -> DataFrame:
-    return inventory.groupBy(month_of("snapshot_date").alias("month")).agg(
+    return inventory.filter(F.col("snapshot_date").isNotNull()).groupBy(month_of("snapshot_date").alias("month")).agg(
         ratio(F.sum("stockout_flag"), F.count("stockout_flag")).alias("stockout_rate"),
         F.avg("fill_rate").alias("avg_fill_rate"),
         F.avg("days_of_supply").alias("avg_days_of_supply"),

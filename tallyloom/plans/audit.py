@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import audit as a
 from tallyloom.plans.catalog import query
-from tallyloom.plans.common import daily_sales
+from tallyloom.plans.common import daily_sales, panel_sales
 from tallyloom.sources.schemas import REGISTRY
 from tallyloom.sources.tables import StarTables
 
 AUDITED = (
     "products", "customers", "promotions", "geography", "orders", "order_items", "payments",
-    "shipments", "returns", "reviews", "sales", "inventory", "web_traffic",
+    "shipments", "returns", "reviews", "sales", "inventory", "web_traffic", "sample_submission",
 )
 
 
@@ -25,11 +25,19 @@ def tables(t, names=AUDITED, with_zip=False):
 _PROFILED = {
     "products": "product_id bigint, product_name string, category string, segment string, size string, price double, cogs double",
     "customers": "customer_id bigint, zip int, acquisition_channel string, age_group string",
-    "orders": "customer_id bigint, order_id bigint, order_date date, order_status string, payment_method string, order_source string",
+    "promotions": "promo_id string, discount_value double, start_date date, end_date date",
+    "geography": "zip int, city string, region string",
+    "orders": "customer_id bigint, order_id bigint, order_date date, zip int, order_status string, payment_method string, order_source string",
     "order_items": "order_id bigint, product_id bigint, quantity bigint, unit_price double, discount_amount double, promo_id string, promo_id_2 string",
     "payments": "order_id bigint, payment_method string, payment_value double, installments int",
     "returns": "return_id string, order_id bigint, product_id bigint, return_date date, return_reason string, return_quantity bigint, refund_amount double",
     "reviews": "review_id bigint, order_id bigint, customer_id bigint, review_date date, rating int",
+    "shipments": "order_id bigint, ship_date date, delivery_date date",
+    "sales": "date date, revenue double, cogs double",
+    "inventory": "snapshot_date date, product_id bigint, units_sold bigint, stockout_flag int, fill_rate double, days_of_supply double",
+    "web_traffic": "date date, traffic_source string, sessions bigint, unique_visitors bigint, page_views bigint, "
+    "bounce_rate double, avg_session_duration_sec double",
+    "sample_submission": "date date",
 }
 
 
@@ -48,7 +56,7 @@ def _profile_sql(table: str, pairs: str) -> str:
 
 @query("Q01_column_profile", " union all ".join(_profile_sql(n, p) for n, p in _PROFILED.items()))
 def q01(t):
-    return a.column_profile(tables(t, _PROFILED))
+    return a.column_profile(tables(t, _PROFILED, with_zip=True))
 
 
 _NULLS = " union all ".join(
@@ -63,10 +71,10 @@ _NULLS = " union all ".join(
 
 @query("Q02_missing_report", f"select * from ({_NULLS}) where null_count > 0")
 def q02(t):
-    return a.missing_report(tables(t, _PROFILED), REGISTRY.tables)
+    return a.missing_report(tables(t, _PROFILED, with_zip=True), REGISTRY.tables)
 
 
-_DUP_TABLES = ("order_items", "orders", "payments", "returns", "web_traffic")
+_DUP_TABLES = AUDITED
 
 
 @query(
@@ -78,7 +86,7 @@ _DUP_TABLES = ("order_items", "orders", "payments", "returns", "web_traffic")
     ),
 )
 def q03(t):
-    return a.full_row_duplicates(tables(t, _DUP_TABLES))
+    return a.full_row_duplicates(tables(t, _DUP_TABLES, with_zip=True))
 
 
 _KEYED = tuple(n for n in AUDITED if REGISTRY.tables[n].key)
@@ -106,6 +114,7 @@ _DATED = {
     "sales": ("date",),
     "inventory": ("snapshot_date",),
     "web_traffic": ("date",),
+    "sample_submission": ("date",),
 }
 
 
@@ -122,8 +131,10 @@ _DATED = {
 )
 def q05(t):
     """Of CSV files the text itself is judged, before any cast could hide what does not parse."""
-    source = {n: t.raw(n) for n in _DATED} if hasattr(t, "raw") else tables(t, _DATED)
-    return a.date_coverage(source, _DATED)
+    if not hasattr(t, "raw"):
+        return a.date_coverage(tables(t, _DATED), _DATED)
+    columns = {n: spec.date_columns for n, spec in REGISTRY.tables.items() if spec.date_columns}
+    return a.date_coverage({n: t.raw(n) for n in columns}, columns)
 
 
 @query(
@@ -239,25 +250,24 @@ def q12(t):
     return a.optional_ratio_range(traffic, "web_traffic.conversion_rate_0_to_1", "conversion_rate")
 
 
+# The reviews of the star view name no product; of CSV files all keys are checked.
 _FKS = tuple(
     fk for fk in REGISTRY.foreign_keys if not (fk.child == "reviews" and fk.child_column == "product_id")
 )
-
-
-@query(
-    "Q13_foreign_keys",
-    " union all ".join(
+_Q13 = " union all ".join(
         f"""select '{fk.child}' as child_table, '{fk.child_column}' as child_column, '{fk.parent}' as parent_table,
         '{fk.parent_column}' as parent_column, {str(fk.required).lower()} as required_fk,
         count(*) as checked_rows, count(*) filter (where k is null) as invalid_fk_count,
         case when count(*) filter (where k is null) = 0 then 'PASS' else 'FAIL' end as status
         from (select {fk.child_column} as c from v_{fk.child} {"" if fk.required else f"where {fk.child_column} is not null"}) x
         left join (select distinct {fk.parent_column} as k from v_{fk.parent}) p on c = k"""
-        for fk in _FKS
-    ),
+    for fk in _FKS
 )
+
+
+@query("Q13_foreign_keys", _Q13)
 def q13(t):
-    return a.foreign_key_report(_FKS, tables(t, with_zip=True))
+    return a.foreign_key_report(REGISTRY.foreign_keys, tables(t, with_zip=True))
 
 
 def _check_sql(name: str, failures: str, source: str, details: str | None = None) -> str:
@@ -362,7 +372,10 @@ def q19(t):
     )
 
 
-_ALL_CHECKS = " union all ".join([_Q07, _Q08, _Q09, _Q10, _Q11, _Q14, _Q15, _Q16, _Q17, _Q18, _Q19])
+_Q12 = _rule_sql("web_traffic.conversion_rate_0_to_1", _CONVERSION, "conversion_rate < 0 or conversion_rate > 1")
+_KEYS = f"""select 'foreign_key' as check_group, child_table || '.' || child_column as check_name, status,
+    invalid_fk_count as failures, 'checked_rows=' || cast(checked_rows as varchar) as details from ({_Q13})"""
+_ALL_CHECKS = " union all ".join([_Q07, _Q08, _Q09, _Q10, _Q11, _Q12, _Q14, _Q15, _Q16, _Q17, _Q18, _Q19, _KEYS])
 
 
 @query(
@@ -371,7 +384,8 @@ _ALL_CHECKS = " union all ".join([_Q07, _Q08, _Q09, _Q10, _Q11, _Q14, _Q15, _Q16
         from ({_ALL_CHECKS}) group by 1, 2""",
 )
 def q20(t):
-    return a.roll_up(a.union_all(f(t) for f in (q07, q08, q09, q10, q11, q14, q15, q16, q17, q18, q19)))
+    checks = [f(t) for f in (q07, q08, q09, q10, q11, q12, q14, q15, q16, q17, q18, q19)]
+    return a.roll_up(a.union_all([c for c in checks if c is not None] + [a.foreign_key_rows(q13(t))]))
 
 
 def _window_sql(name: str, source: str, first: str, last: str) -> str:
@@ -423,9 +437,9 @@ def q22(t):
 
 @query(
     "Q23_fold_completeness",
-    """select cast(fold_id as integer) as fold_id, count(*) as rows, case when count(*) = 120 then 'PASS' else 'FAIL' end as status from v_daily,
-       (select unnest(range(1, 4)) as fold_id), (select max(date) as hi from v_daily)
-       where date > hi - cast((4 - fold_id) * 120 as integer) and date <= hi - cast((3 - fold_id) * 120 as integer) group by 1""",
+    """select cast(fold_id as integer) as fold_id, count(date) as rows, case when count(date) = 120 then 'PASS' else 'FAIL' end as status
+       from (select unnest(range(1, 4)) as fold_id) f cross join (select max(date) as hi from v_daily) h left join v_daily d
+       on date > hi - cast((4 - fold_id) * 120 as integer) and date <= hi - cast((3 - fold_id) * 120 as integer) group by 1""",
 )
 def q23(t):
     from tallyloom.operators.forecast import validation_rows
@@ -436,9 +450,7 @@ def q23(t):
 
 @query(
     "Q24_enough_history",
-    "select segment as series, count(distinct order_date) as rows, count(distinct order_date) > 365 as has_history "
-    "from v_order_items join v_orders using (order_id) join v_products using (product_id) group by 1",
+    "select series, count(*) as rows, count(*) >= 365 as has_history from v_dense group by 1",
 )
 def q24(t):
-    panel = t.sales(keys=("segment",)).withColumnRenamed("segment", "series")
-    return a.enough_history(panel, 365, ["series"])
+    return a.enough_history(panel_sales(t), 365, ["series"])

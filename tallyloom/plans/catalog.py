@@ -94,6 +94,8 @@ VIEWS: dict[str, str] = {
         cast(sum(cast(quantity * cogs as decimal(18,4))) as double) as cogs
         from v_order_items join v_orders using (order_id) join v_products using (product_id)
         group by segment, order_date""",
+    "v_sample_submission": """select cast(unnest(generate_series(hi + interval 1 day, hi + interval 548 day, interval 1 day)) as date) as date
+        from (select max(order_date)::timestamp as hi from v_orders)""",
     "v_spine": """select cast(unnest(generate_series(lo, hi, interval 1 day)) as date) as date
         from (select min(order_date)::timestamp as lo, max(order_date)::timestamp as hi from v_orders)""",
     "v_daily": """select p.date, coalesce(s.revenue, 0e0) as revenue, coalesce(s.cogs, 0e0) as cogs

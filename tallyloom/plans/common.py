@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.series import densify
 from tallyloom.session import store
-from tallyloom.sources.tables import StarTables
+from tallyloom.sources.tables import SharedStarTables, StarTables
 
 
 def rounded(df: DataFrame, digits: dict[str, int], nudge: float = 0.0) -> DataFrame:
@@ -45,6 +45,11 @@ def once(t: StarTables, name: str, build) -> DataFrame:
         return kept[name]
 
 
+def shared(t, name: str, build) -> DataFrame:
+    """``once`` in a run of many queries; a query on its own keeps its lazy plan."""
+    return once(t, name, build) if isinstance(t, SharedStarTables) else build()
+
+
 def daily_sales(t: StarTables) -> DataFrame:
     """The one total series, a row for every calendar day.
 

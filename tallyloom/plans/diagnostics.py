@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tallyloom.operators import diagnostics as d
 from tallyloom.plans.catalog import query
-from tallyloom.plans.common import once, rounded
+from tallyloom.plans.common import once, rounded, shared
 
 _DAILY = """daily as (select order_date as date, acquisition_channel, cast(sum(net) as double) as revenue,
     count(distinct order_id) as order_count, cast(sum(net) as double) / count(distinct order_id) as avg_order_value
@@ -105,7 +105,7 @@ _RANKED = " union all ".join(
 
 @query("X01_daily_channel_revenue", f"with {_DAILY} select * from daily")
 def x01(t):
-    return d.daily_channel_revenue(t.order_items(), t.orders(), t.customers())
+    return shared(t, "channel_days", lambda: d.daily_channel_revenue(t.order_items(), t.orders(), t.customers()))
 
 
 @query(
@@ -130,12 +130,12 @@ def x03(t):
 
 @query("X04_channel_totals", f"with {_TOTALS} select * from totals")
 def x04(t):
-    return d.channel_totals(t.order_items(), t.orders(), t.customers())
+    return shared(t, "channel_totals", lambda: d.channel_totals(t.order_items(), t.orders(), t.customers()))
 
 
 @query("X05_customer_lifetime", f"with {_LIFETIME} select * from lifetime")
 def x05(t):
-    return d.customer_lifetime(t.order_items(), t.orders(), t.customers())
+    return shared(t, "lifetime", lambda: d.customer_lifetime(t.order_items(), t.orders(), t.customers()))
 
 
 @query(

@@ -32,7 +32,7 @@ def d01_panel(t):
     """select cast(date_trunc('month', date) as date) as month, cast(sum(cast(revenue as decimal(18,4))) as double) as revenue,
        cast(sum(cast(cogs as decimal(18,4))) as double) as cogs,
        cast(sum(cast(revenue - cogs as decimal(18,4))) as double) as gross_profit,
-       cast(sum(cast(revenue as decimal(18,4))) as double) / count(revenue) as avg_daily_revenue from v_sales group by 1""",
+       cast(sum(cast(revenue as decimal(18,4))) as double) / count(revenue) as avg_daily_revenue from v_sales where date is not null group by 1""",
 )
 def d02(t):
     return k.monthly_revenue(t.sales())
@@ -42,7 +42,7 @@ def d02(t):
     "D03_month_seasonality",
     """select cast(month(date) as integer) as month_num,
        cast(sum(cast(revenue as decimal(18,4))) as double) / count(revenue) as avg_revenue,
-       round(median(revenue) + 1e-7, 4) as median_revenue from v_sales group by 1""",
+       round(median(revenue) + 1e-7, 4) as median_revenue from v_sales where date is not null group by 1""",
 )
 def d03(t):
     return rounded(k.month_seasonality(t.sales()), {"median_revenue": 4}, nudge=1e-7)
@@ -85,7 +85,7 @@ def d07(t):
 @query(
     "D08_segment_margin",
     """select segment, round(avg((price - cogs) / price), 9) as avg_margin_rate, count(distinct product_id) as n_products
-       from v_products group by 1""",
+       from v_products where segment is not null group by 1""",
 )
 def d08(t):
     return rounded(k.segment_margin(t.products()), {"avg_margin_rate": 9})
@@ -93,7 +93,7 @@ def d08(t):
 
 @query(
     "D09_return_reason_counts",
-    "select return_reason, count(return_id) as return_records from v_returns group by 1",
+    "select return_reason, count(return_id) as return_records from v_returns where return_reason is not null group by 1",
 )
 def d09(t):
     return k.return_reason_counts(t.returns())
@@ -110,7 +110,7 @@ def d10(t):
     return k.return_rate_by_category(t.returns(), t.order_items(), t.products())
 
 
-@query("D11_rating_distribution", "select rating, count(review_id) as review_count from v_reviews group by 1")
+@query("D11_rating_distribution", "select rating, count(review_id) as review_count from v_reviews where rating is not null group by 1")
 def d11(t):
     return k.rating_distribution(t.reviews())
 
@@ -120,7 +120,7 @@ def d11(t):
     """select cast(date_trunc('month', snapshot_date) as date) as month,
        cast(sum(stockout_flag) as double) / count(stockout_flag) as stockout_rate,
        round(avg(fill_rate), 9) as avg_fill_rate, round(avg(days_of_supply), 7) as avg_days_of_supply
-       from v_inventory group by 1""",
+       from v_inventory where snapshot_date is not null group by 1""",
 )
 def d12(t):
     return rounded(k.inventory_health(t.inventory()), {"avg_fill_rate": 9, "avg_days_of_supply": 7})

@@ -16,7 +16,7 @@ from tallyloom.plans.catalog import query
 from tallyloom.plans.common import daily_sales, panel_sales, rounded, segment_days
 from tallyloom.session import scratch_path
 from tallyloom.sources import readers, writers
-from tallyloom.sources.tables import STAR_SCHEMAS
+from tallyloom.sources.tables import GIVEN_TABLES
 
 CUT = "2000-01-01"
 
@@ -25,10 +25,10 @@ CUT = "2000-01-01"
 
 @query(
     "S01_scan_all_tables",
-    " union all ".join(f"""select '{n}' as "table", count(*) as rows from {n}""" for n in STAR_SCHEMAS),
+    " union all ".join(f"""select '{n}' as "table", count(*) as rows from {n}""" for n in GIVEN_TABLES),
 )
 def s01(t):
-    return union_all(t.base(n).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows") for n in STAR_SCHEMAS)
+    return union_all(t.base(n).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows") for n in GIVEN_TABLES)
 
 
 @query("S02_scan_one_table", "select c_custkey, c_nationkey, c_acctbal, c_mktsegment from customer")

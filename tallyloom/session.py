@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,12 @@ def scratch_root(spark: SparkSession) -> str:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = jvm_dir.get() if jvm_dir.isDefined() else tempfile.mkdtemp(prefix="tallyloom-")
+        if jvm_dir.isDefined():
+            root = jvm_dir.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            root = tempfile.mkdtemp(prefix="tallyloom-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -53,6 +59,25 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/tallyloom/{app}/{label}-{uuid.uuid4().hex}"
 
 
+#: Paths that ``store`` wrote, oldest first.
+_STORED: list[str] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Remove at the end what was stored meanwhile; frames read from it are of no use afterwards."""
+    first = len(_STORED)
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _STORED[first:]:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+        del _STORED[first:]
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
@@ -60,6 +85,7 @@ def store(df: DataFrame, label: str) -> DataFrame:
     lineage ends here, and it outlives the executors that made it.
     """
     path = scratch_path(df.sparkSession, label)
+    _STORED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from tallyloom.functions.expr import money_sum, ratio
 from tallyloom.operators.facts import sales_by_day
 from tallyloom.sources import readers
 from tallyloom.sources.schemas import REGISTRY
+from tallyloom.session import store
 
 _NTZ = T.TimestampNTZType()
 
@@ -29,6 +31,12 @@ STAR_SCHEMAS = {
     "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
 }
 
+#: Every table of the folder, also those that no retail view is made of.
+GIVEN_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+)
+
 # Events lie in 2024, orders in 1995-2001: whole days between the two, so that date joins meet.
 EVENT_SHIFT_DAYS = 9496
 
@@ -64,7 +72,10 @@ class StarTables:
         self.directory = directory
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{self.directory}/{name}.parquet")
+        reader = self.spark.read
+        if name in STAR_SCHEMAS:
+            reader = reader.schema(STAR_SCHEMAS[name])
+        return reader.parquet(f"{self.directory}/{name}.parquet")
 
     def products(self) -> DataFrame:
         size = F.col("p_size")
@@ -241,10 +252,50 @@ class StarTables:
             F.posexplode(F.expr(f"sequence(date_add(last_date, 1), date_add(last_date, {days}))")).alias("pos", "date")
         ).select((F.col("pos") + 1).alias("row_id"), "date")
 
+    def sample_submission(self) -> DataFrame:
+        return self.horizon().select("date")
+
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)()
 
 
+class SharedStarTables(StarTables):
+    """For a run of many queries: a roll-up of the lines or events is written once and read by all.
+
+    A single query reads less from its own plan, which is pruned to the columns it uses.
+    """
+
+    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        with self._lock:
+            lock = self._locks.setdefault(name, threading.RLock())
+        with lock:
+            if name not in self._kept:
+                self._kept[name] = store(build(), name)
+            return self._kept[name]
+
+    def __init__(self, spark: SparkSession, directory: str):
+        super().__init__(spark, directory)
+        self._lock, self._locks, self._kept = threading.RLock(), {}, {}
+
+    def promotions(self) -> DataFrame:
+        return self._once("promotions", super().promotions)
+
+    def shipments(self) -> DataFrame:
+        return self._once("shipments", super().shipments)
+
+    def returns(self) -> DataFrame:
+        return self._once("returns", super().returns)
+
+    def web_traffic(self) -> DataFrame:
+        return self._once("web_traffic", super().web_traffic)
+
+    def inventory(self) -> DataFrame:
+        return self._once("inventory", super().inventory)
+
+    def sales(self, keys: tuple[str, ...] = ()) -> DataFrame:
+        return self._once("-".join(("sales", *keys)), lambda: StarTables.sales(self, keys))
+
+
 class CsvTables:
     """The same tables from a folder of CSV files, one file per table.
 
@@ -303,5 +354,5 @@ class CsvTables:
 
 
 def open_tables(spark: SparkSession, directory: str, kind: str) -> StarTables | CsvTables:
-    """``star`` for the Parquet star schema, ``csv`` for the folder of CSV files."""
-    return {"star": StarTables, "csv": CsvTables}[kind](spark, directory)
+    """For a whole run: ``star`` for the Parquet star schema, ``csv`` for the folder of CSV files."""
+    return {"star": SharedStarTables, "csv": CsvTables}[kind](spark, directory)
