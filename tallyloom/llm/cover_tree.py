@@ -45,6 +45,11 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
 
+def _narrow(points: np.ndarray) -> np.ndarray:
+    """Single precision, for choices that need not be exact and for tests with a margin."""
+    return points.astype(np.float32)
+
+
 def _nearest(points: np.ndarray, centres: np.ndarray, rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centre of every point, and its distance."""
     which, far = np.empty(len(points), dtype=np.int64), np.empty(len(points))
@@ -56,17 +61,23 @@ def _nearest(points: np.ndarray, centres: np.ndarray, rows: int = 1024) -> tuple
 
 
 def widen(points: np.ndarray, net: list[int], radius: float, rows: int = 512) -> list[int]:
-    """Centres, those of ``net`` first, such that every point is within ``radius`` of one."""
+    """Centres, those of ``net`` first, such that every point is within about ``radius`` of one.
+
+    Single precision is enough: covering radii are measured afterwards.
+    """
     net = list(net)
-    for at in range(0, len(points), rows):
-        here = points[at : at + rows]
-        open_ = np.flatnonzero(_distances(here, points[net]).min(axis=1) > radius) if net else np.arange(len(here))
-        apart = _distances(here[open_], here[open_])
-        covered = np.zeros(len(open_), dtype=bool)
-        for i in range(len(open_)):
+    near = 1 - radius * radius / 2  # the cosine at that distance
+    others = np.setdiff1d(np.arange(len(points)), net)
+    for at in range(0, len(others), rows):
+        here = others[at : at + rows]
+        if net:
+            here = here[(points[here] @ points[net].T).max(axis=1) < near]
+        close = points[here] @ points[here].T >= near
+        covered = np.zeros(len(here), dtype=bool)
+        for i in range(len(here)):
             if not covered[i]:
-                covered |= apart[i] <= radius
-                net.append(at + int(open_[i]))
+                covered |= close[i]
+                net.append(int(here[i]))
     return net
 
 
@@ -74,19 +85,24 @@ class CoverTree:
     """Levels of nodes; the last level has every point as a node of its own."""
 
     def __init__(self, points: np.ndarray):
-        self.points = points
+        self.points, self.single = points, _narrow(points)
         nets: list[list[int]] = [[0]]
         for level in range(1, LEVELS):
-            nets.append(widen(points, nets[-1], 2.0 ** (1 - level)))
+            nets.append(widen(self.single, nets[-1], 2.0 ** (1 - level)))
             if len(nets[-1]) == len(points):
                 break
         self.centres = [np.array(n) for n in nets]
         if len(nets[-1]) < len(points):
-            self.centres.append(np.arange(len(points)))
-        # The centres of a level are the first ones of the next, so a node keeps its own centre.
+            rest = np.setdiff1d(np.arange(len(points)), nets[-1])
+            self.centres.append(np.concatenate((self.centres[-1], rest)))
+        # The centres of a level are the first ones of the next, and their own parents.
         self.children, parents = [], []
         for upper, lower in zip(self.centres, self.centres[1:]):
-            parent, _ = _nearest(points[lower], points[upper])
+            parent = np.arange(len(lower))
+            new = self.single[lower[len(upper) :]]
+            for at in range(0, len(new), 1024):
+                nearest = (new[at : at + 1024] @ self.single[upper].T).argmax(axis=1)
+                parent[len(upper) + at : len(upper) + at + len(nearest)] = nearest
             order = np.argsort(parent, kind="stable")
             parents.append(parent)
             self.children.append((order, np.searchsorted(parent[order], np.arange(len(upper) + 1))))
@@ -115,40 +131,67 @@ def linked_pairs(a: CoverTree, b: CoverTree, cosine: float = COSINE) -> Iterator
     def alive(i: np.ndarray, j: np.ndarray, d: np.ndarray, la: int, lb: int) -> np.ndarray:
         return d <= a.cover[la][i] + b.cover[lb][j] + reach
 
+    def dense(ka: np.ndarray, kb: np.ndarray, na: int, nb: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in ka and kb of all pairs that stay alive, by products of whole matrices."""
+        # Nodes of one point have no radius: their bound is one number, tested with a margin.
+        flat = b.cover[nb][kb] == 0
+        lone, wide = np.flatnonzero(flat), np.flatnonzero(~flat)
+        right, near = b.single[b.centres[nb][kb[lone]]], cosine - 1e-4
+        for at in range(0, len(ka), 512):
+            part = np.arange(at, min(at + 512, len(ka)))
+            alone = a.cover[na][ka[part]] == 0
+            if len(lone) and alone.any():
+                x, y = np.nonzero(a.single[a.centres[na][ka[part[alone]]]] @ right.T >= near)
+                yield part[alone][x], lone[y]
+            for mine, theirs in ((part, wide), (part[~alone], lone)):
+                if len(mine) and len(theirs):
+                    d = _distances(a.points[a.centres[na][ka[mine]]], b.points[b.centres[nb][kb[theirs]]])
+                    x, y = np.nonzero(alive(ka[mine][:, None], kb[theirs][None, :], d, na, nb))
+                    yield mine[x], theirs[y]
+
+    def kids(nodes: np.ndarray, of: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Children of the nodes, and the place of the parent of each."""
+        sizes = cut[nodes + 1] - cut[nodes]
+        owner = np.repeat(np.arange(len(nodes)), sizes)
+        offset = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return of[cut[nodes][owner] + offset], owner
+
     # Pairs of nodes still to be opened, deepest last.
     stack = [(0, 0, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
     while stack:
         la, lb, i, j = stack.pop()
         if la == last_a and lb == last_b:
-            x, y = a.centres[la][i], b.centres[lb][j]
-            near = np.einsum("ij,ij->i", a.points[x], b.points[y]) >= cosine
-            yield x[near], y[near]
+            for at in range(0, len(i), 500_000):
+                x, y = a.centres[la][i[at : at + 500_000]], b.centres[lb][j[at : at + 500_000]]
+                near = np.einsum("ij,ij->i", a.points[x], b.points[y]) >= cosine
+                yield x[near], y[near]
             continue
         (kids_a, cut_a), (kids_b, cut_b) = below(a, la, last_a), below(b, lb, last_b)
         na, nb = min(la + 1, last_a), min(lb + 1, last_b)
         many = (cut_a[i + 1] - cut_a[i]) * (cut_b[j + 1] - cut_b[j])
-        for p in np.flatnonzero(many > 65536):
-            ka, kb = kids_a[cut_a[i[p]] : cut_a[i[p] + 1]], kids_b[cut_b[j[p]] : cut_b[j[p] + 1]]
-            right = b.points[b.centres[nb][kb]]
-            for at in range(0, len(ka), 512):
-                part = ka[at : at + 512]
-                d = _distances(a.points[a.centres[na][part]], right)
-                x, y = np.nonzero(alive(part[:, None], kb[None, :], d, na, nb))
-                if len(x):
-                    stack.append((na, nb, part[x], kb[y]))
-        few = np.flatnonzero(many <= 65536)
-        ends = np.cumsum(many[few])
-        done = 0
-        while done < len(few):
+        (nodes_a, which_a), (nodes_b, which_b) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+        (ka, owner_a), (kb, owner_b) = kids(nodes_a, kids_a, cut_a), kids(nodes_b, kids_b, cut_b)
+        if many.sum() * 8 >= len(ka) * len(kb):
+            # Most pairs among these nodes are open: test all and drop those whose parents are not.
+            opened = np.zeros((len(nodes_a), len(nodes_b)), dtype=bool)
+            opened[which_a, which_b] = True
+            for x, y in dense(ka, kb, na, nb):
+                keep = opened[owner_a[x], owner_b[y]]
+                if keep.any():
+                    stack.append((na, nb, ka[x[keep]], kb[y[keep]]))
+            continue
+        ends, done = np.cumsum(many), 0
+        while done < len(i):
             stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + 500_000, "right")))
-            pick = few[done:stop]
+            pick = np.arange(done, stop)
             done = stop
             width = cut_b[j[pick] + 1] - cut_b[j[pick]]
             count = many[pick]
-            of = np.repeat(np.arange(len(pick)), count)
+            of = np.repeat(pick, count)
             k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            x = kids_a[cut_a[i[pick]][of] + k // width[of]]
-            y = kids_b[cut_b[j[pick]][of] + k % width[of]]
+            wide_of = np.repeat(width, count)
+            x = kids_a[cut_a[i[of]] + k // wide_of]
+            y = kids_b[cut_b[j[of]] + k % wide_of]
             dot = np.einsum("ij,ij->i", a.points[a.centres[na][x]], b.points[b.centres[nb][y]])
             keep = alive(x, y, np.sqrt(np.maximum(2 - 2 * dot, 0)), na, nb)
             if keep.any():
