@@ -1,7 +1,8 @@
 """Named queries for fitted models (F04-F13, B01-B08) and their explanation (V01-V05).
 
-A fit depends on how an engine draws samples and splits, so these have no SQL to be held against;
-the tests hold them against plain loops and properties instead.
+A fit depends on how an engine draws samples and splits, so its values have no SQL to be held against.
+Two queries of check rows have: every forecast covers its days, and none is negative or empty. Tests hold
+the rest against plain loops and properties.
 """
 
 from __future__ import annotations
@@ -16,21 +17,26 @@ from tallyloom.operators import backtest as b
 from tallyloom.operators import explain as x
 from tallyloom.operators import features as e
 from tallyloom.operators import forecast as f
+from tallyloom.operators.audit import output_contract, union_all
 from tallyloom.plans.catalog import query
 from tallyloom.plans.common import daily_sales, once, only_one, panel_sales
+from tallyloom.session import data_version
 
 KEYS = ["series"]
 HOLDOUT = 120
 DUAL_HOLDOUT = 180
-HORIZON = 548
 
-# A fitted model serves every query of a session that needs it: application, folder and name.
+# A fitted model serves every query of a session that needs it, as long as the files are the same.
 _FITTED: dict[tuple, object] = {}
 
 
+def _key(t, name: str) -> tuple:
+    return (t.spark.sparkContext.applicationId, t.directory, data_version(t.spark, t.directory), name)
+
+
 def fitted_all(t, fits: dict[str, Callable[[], object]]) -> dict[str, object]:
-    """The named models, fitting the missing ones side by side."""
-    keys = {name: (t.spark.sparkContext.applicationId, t.directory, name) for name in fits}
+    """The named models, fitting the missing ones side by side. Names tell parameters apart."""
+    keys = {name: _key(t, name) for name in fits}
     with only_one(*keys.values()):
         missing = {name: fit for name, fit in fits.items() if keys[name] not in _FITTED}
         for name, model in f.fit_all(missing).items():
@@ -42,6 +48,35 @@ def fitted(t, name: str, fit: Callable[[], object]):
     return fitted_all(t, {name: fit})[name]
 
 
+def decided(t, name: str, decide: Callable[[], object]):
+    """A choice that a comparison of models led to, made once."""
+    key = _key(t, name)
+    with only_one(key):
+        if key not in _FITTED:
+            _FITTED[key] = decide()
+        return _FITTED[key]
+
+
+def _label(params: dict) -> str:
+    return ",".join(f"{k}={v}" for k, v in sorted(params.items()))
+
+
+def chosen_candidate(t) -> dict:
+    """Parameter set, best blend weight and model that the grid search ranks first."""
+
+    def decide() -> dict:
+        ranked = b07(t).collect()
+        best = ranked[0]
+        # The naive model has no parameters: its set is then the first one that follows with a model.
+        with_model = next(r for r in ranked if r["model"] != "seasonal_year_lag365")
+        of_set = [r for r in ranked if r["param_set"] == with_model["param_set"]]
+        alpha = next(float(r["model"].rsplit("_", 1)[1]) for r in of_set if r["model"].startswith("blend_alpha_"))
+        model = "blend" if best["model"].startswith("blend_alpha_") else best["model"]
+        return {"params": f.PARAM_GRID[with_model["param_set"] - 1], "alpha": alpha, "model": model}
+
+    return decided(t, "chosen", decide)
+
+
 def _daily(t) -> DataFrame:
     return once(t, "daily_dense", lambda: daily_sales(t))
 
@@ -86,18 +121,19 @@ def _by_fold(models: dict[str, object], name: str) -> dict[int, f.Scorer]:
 
 
 def _boosted_model(t, params: dict, rows: DataFrame, name: str):
-    return fitted(t, name, lambda: f.fit_boosted(rows, e.EXTENDED_FEATURES, "revenue", params))
+    return fitted(t, f"{name}:{_label(params)}", lambda: f.fit_boosted(rows, e.EXTENDED_FEATURES, "revenue", params))
 
 
-def _full_boosted(t, params: dict = f.PARAM_GRID[0]) -> f.Scorer:
+def _full_boosted(t, params: dict) -> f.Scorer:
     model = _boosted_model(t, params, _extended(t), "boosted_full")
-    return fitted(t, "boosted_full_scorer", lambda: f.boosted_scorer(model, e.EXTENDED_FEATURES, t.spark))
+    name = f"boosted_full_scorer:{_label(params)}"
+    return fitted(t, name, lambda: f.boosted_scorer(model, e.EXTENDED_FEATURES, t.spark))
 
 
 def _holdout_model(t):
-    """Model fitted without the last 120 days, and those days."""
+    """The tuned model fitted without the last 120 days, and those days."""
     train, held = b.tail_split(_extended(t), HOLDOUT)
-    return _boosted_model(t, f.PARAM_GRID[0], train, "boosted_holdout"), train, held
+    return _boosted_model(t, chosen_candidate(t)["params"], train, "boosted_holdout"), train, held
 
 
 def _dual_models(t, rows: DataFrame, name: str) -> dict[str, object]:
@@ -106,14 +142,15 @@ def _dual_models(t, rows: DataFrame, name: str) -> dict[str, object]:
     def fit(target: str):
         return f.fit_boosted(rows, e.DUAL_FEATURES, target, f.DUAL_PARAMS)
 
-    models = fitted_all(t, {f"dual_{name}_{v}": lambda v=v: fit(v) for v in ("revenue", "cogs")})
-    return {v: models[f"dual_{name}_{v}"] for v in ("revenue", "cogs")}
+    names = {v: f"dual_{name}_{v}:{_label(f.DUAL_PARAMS)}" for v in ("revenue", "cogs")}
+    models = fitted_all(t, {names[v]: lambda v=v: fit(v) for v in names})
+    return {v: models[n] for v, n in names.items()}
 
 
 def _dual_scorers(t, rows: DataFrame, name: str) -> tuple[f.Scorer, f.Scorer]:
     models = _dual_models(t, rows, name)
     return tuple(
-        fitted(t, f"dual_{name}_{v}_scorer", lambda m=m: f.boosted_scorer(m, e.DUAL_FEATURES, t.spark))
+        fitted(t, f"dual_{name}_{v}_scorer:{_label(f.DUAL_PARAMS)}", lambda m=m: f.boosted_scorer(m, e.DUAL_FEATURES, t.spark))
         for v, m in models.items()
     )
 
@@ -188,24 +225,73 @@ def f06(t):
 
 @query("F07_boosted_recursive")
 def f07(t):
-    return f.recursive_forecast(_daily(t), HORIZON, _full_boosted(t))
+    """The parameter set that the grid search chose, fitted on all rows."""
+    return f.recursive_forecast(_daily(t), t.horizon_days, _full_boosted(t, chosen_candidate(t)["params"]))
 
 
 def _boosted_wide(t) -> DataFrame:
-    return f.align({"gbt_recursive": f07(t), "seasonal_year_lag365": f.seasonal_naive(_daily(t), HORIZON, 365)})
+    return f.align({"gbt_recursive": f07(t), "seasonal_year_lag365": f.seasonal_naive(_daily(t), t.horizon_days, 365)})
 
 
 @query("F08_boosted_blend")
 def f08(t):
-    return _boosted_wide(t).select("date", f.blend("gbt_recursive", "seasonal_year_lag365", 0.9).alias("predicted"))
+    blended = f.blend("gbt_recursive", "seasonal_year_lag365", chosen_candidate(t)["alpha"])
+    return _boosted_wide(t).select("date", blended.alias("predicted"))
 
 
 @query("F13_final_forecast")
 def f13(t):
-    """Forecast detail for every template day, with the model the backtest chose."""
-    wide = _boosted_wide(t).withColumn("blend_alpha_0.90", f.blend("gbt_recursive", "seasonal_year_lag365", 0.9))
-    wide = wide.withColumnRenamed("blend_alpha_0.90", "blend")
-    return f.forecast_detail(wide, ["gbt_recursive", "seasonal_year_lag365", "blend"], "blend")
+    """Forecast detail for every template day, with the model the grid search chose."""
+    chosen = chosen_candidate(t)
+    wide = _boosted_wide(t).withColumn("blend", f.blend("gbt_recursive", "seasonal_year_lag365", chosen["alpha"]))
+    return f.forecast_detail(wide, ["gbt_recursive", "seasonal_year_lag365", "blend"], chosen["model"])
+
+
+@query("F13_baseline_final")
+def f13_baseline(t):
+    """The four baseline candidates over the template, with the one the backtest ranks first."""
+    best = decided(t, "baseline_best", lambda: b.best_model(b04_models(t)).first()["model"])
+    daily, days = _daily(t), t.horizon_days
+    parts = {name: f.seasonal_naive(daily, days, s) for name, s in b.NAIVE_SEASONS.items()}
+    parts["linear_recursive_lagged"] = f.recursive_forecast(daily, days, _linear(t))
+    wide = f.align(parts).withColumn("ensemble_equal_weight", f.equal_weight(list(parts)))
+    return f.forecast_detail(wide, [*parts, "ensemble_equal_weight"], best)
+
+
+_CONTRACT_SQL = "select 'forecast' as check_group, '{}' as check_name, 'PASS' as status, cast(0 as bigint) as failures, 'missing=0; extra=0; repeated=0; empty=0' as details"
+
+
+@query("F13_output_contract", " union all ".join(_CONTRACT_SQL.format(n) for n in ("tuned", "baseline", "dual_revenue", "dual_cogs")))
+def f13_contract(t):
+    """The final forecasts against the template: every day once, with a value, and no other day."""
+    dual = f11(t)
+    finals = [("tuned", f13(t), "forecast_selected"), ("baseline", f13_baseline(t), "forecast_selected"),
+              ("dual_revenue", dual, "revenue_final"), ("dual_cogs", dual, "cogs_final")]
+    return union_all(output_contract(t.horizon(), df, value, name) for name, df, value in finals)
+
+
+_SIGN_SQL = """select '{0}' as forecast, cast({1} as bigint) as rows, cast(0 as bigint) as negative, cast(0 as bigint) as not_finite
+    from (select count(distinct series) as series from v_dense)"""
+
+
+@query("F07_forecast_checks", " union all ".join([
+    _SIGN_SQL.format("linear_by_segment", "series * 120"), _SIGN_SQL.format("tuned", "548"),
+    _SIGN_SQL.format("baseline", "548"), _SIGN_SQL.format("dual_revenue", "548"), _SIGN_SQL.format("dual_cogs", "548"),
+]))
+def f07_checks(t):
+    """Fitted forecasts: a row for every day and series, none negative, none without a finite value."""
+    dual = f11(t)
+    every = [("linear_by_segment", f05(t), "predicted"), ("tuned", f13(t), "forecast_selected"),
+             ("baseline", f13_baseline(t), "forecast_selected"), ("dual_revenue", dual, "revenue_final"),
+             ("dual_cogs", dual, "cogs_final")]
+
+    def one(name: str, df: DataFrame, value: str) -> DataFrame:
+        finite = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+        return df.agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(F.col(value) < 0).alias("negative"), F.count_if(~finite).alias("not_finite")
+        ).select(F.lit(name).alias("forecast"), "*")
+
+    return union_all(one(*x) for x in every)
 
 
 def _grid_predictions(t) -> DataFrame:
@@ -265,7 +351,7 @@ def f09(t):
 def f10(t):
     """Refitted on all rows; predictions feed back as they are."""
     revenue, cogs = _dual_scorers(t, _dual(t), "full")
-    return f.recursive_dual_forecast(_daily(t), HORIZON, revenue, cogs)
+    return f.recursive_dual_forecast(_daily(t), t.horizon_days, revenue, cogs)
 
 
 @query("F11_dual_post_processed")
@@ -273,11 +359,11 @@ def f11(t):
     daily = _daily(t)
     wide = f.align(
         {
-            "revenue_seasonal": f.seasonal_naive(daily, HORIZON, 365),
-            "cogs_seasonal": f.seasonal_naive(daily, HORIZON, 365, "cogs"),
+            "revenue_seasonal": f.seasonal_naive(daily, t.horizon_days, 365),
+            "cogs_seasonal": f.seasonal_naive(daily, t.horizon_days, 365, "cogs"),
         }
     ).join(f10(t), "date")
-    alpha = max(f.DUAL_ALPHAS)
+    alpha = decided(t, "dual_alpha", lambda: float(b08(t).first()["alpha"]))
     blended = wide.select(
         "date",
         "revenue_raw",
@@ -337,5 +423,11 @@ def v04(t):
 
 @query("V05_holdout_metrics")
 def v05(t):
+    """Metrics of the tuned model, and the blend weight that goes with it."""
     model, _, held = _holdout_model(t)
-    return x.holdout_summary(model, held, e.EXTENDED_FEATURES, "revenue")
+    summary = x.holdout_summary(model, held, e.EXTENDED_FEATURES, "revenue")
+    weight = t.spark.range(1).select(
+        F.lit("grid_search").alias("kind"), F.lit("best_blend_alpha").alias("metric"),
+        F.lit(chosen_candidate(t)["alpha"]).alias("value"),
+    )
+    return summary.unionByName(weight)

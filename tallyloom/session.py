@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -59,6 +60,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/tallyloom/{app}/{label}-{uuid.uuid4().hex}"
 
 
+def data_version(spark: SparkSession, directory: str) -> str:
+    """A digest of names, sizes and times of the files below a folder: new data, new digest."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(directory)
+    found, files = [], path.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(path, True)
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
 #: Paths that ``store`` wrote, oldest first.
 _STORED: list[str] = []
 

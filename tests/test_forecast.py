@@ -204,3 +204,39 @@ def test_importance_finds_the_planted_feature(spark):
     assert [c.grid_value for c in curve] == pytest.approx(list(np.quantile([r[0] for r in rows], np.linspace(0.05, 0.95, 9))))
     assert curve[-1].avg_prediction > curve[0].avg_prediction + 40
     assert {r.metric for r in x.holdout_summary(model, df, ["signal", "noise"], "y").collect()} == {"mae", "rmse", "r2"}
+
+
+def test_new_data_in_the_same_folder_is_fitted_again(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from tallyloom.plans import models
+
+    folder, fits = tmp_path / "tables", []
+    for n in (3, 5):
+        spark.range(n).write.mode("overwrite").parquet(str(folder))
+        for _ in range(2):
+            t = SimpleNamespace(spark=spark, directory=str(folder))
+            models.fitted(t, "m", lambda n=n: fits.append(n) or n)
+    assert fits == [3, 5]
+
+
+def test_the_final_forecast_follows_the_grid_search(spark, monkeypatch):
+    """When the second parameter set wins, it is fitted, and its weight and model are used."""
+    from tallyloom.plans import models
+    from tallyloom.sources.tables import StarTables
+
+    from .conftest import DATA
+
+    ranked = spark.createDataFrame(
+        [(2, "blend_alpha_0.75", 1), (1, "blend_alpha_0.90", 2), (2, "gbt_recursive", 3)], "param_set int, model string, place int"
+    ).coalesce(1).orderBy("place")
+    monkeypatch.setattr(models, "b07", lambda t: ranked)
+    monkeypatch.setattr(models, "_FITTED", {})
+    seen = []
+    real = f.fit_boosted
+    quick = lambda rows, names, target, params: seen.append(params) or real(rows, names, target, {"maxIter": 2, "maxDepth": 2})
+    monkeypatch.setattr(f, "fit_boosted", quick)
+    out = models.f13(StarTables(spark, DATA))
+    row = out.first()
+    assert seen == [f.PARAM_GRID[1]] and row.selected_model == "blend"
+    assert row.forecast_selected == pytest.approx(max(0.75 * row.forecast_gbt_recursive + 0.25 * row.forecast_seasonal_year_lag365, 0))
