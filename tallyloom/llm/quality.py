@@ -176,7 +176,7 @@ def _unpack(packed: bytes) -> dict:
 
 def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [r for b in batches for r in b.to_pylist()]
-    rows.sort(key=lambda r: (r["_id"] is None, r["_id"], r["_text"]))
+    rows.sort(key=lambda r: (r["_text"], r["_label"], r["_chars"] is None, r["_chars"] or 0))
     labels = np.array([float(r["_label"]) for r in rows])
     if len(rows) and 0 < labels.sum() < len(labels):
         packed = _pack(fit([r["_text"] for r in rows], [r["_chars"] for r in rows], labels))
