@@ -7,12 +7,18 @@ bound, on each byte, skips pairs of smaller tiles before exclusive-or and bit co
 
 A fingerprint has one or more 64-bit words. With one word, two are linked within ``radius`` bits.
 More words estimate the similarity of the shingles; then the first word must be within ``first`` bits,
-which the tiles are dealt by, and all words together within ``radius``. ``SIMILAR`` is set for five
-words and a similarity of 0.8: half of the pairs at a similarity of 0.74 are linked, 96 of 100 at 0.8,
+which the tiles are dealt by, the first two within ``second``, and all words together within ``radius``.
+``SIMILAR`` links by such an estimate alone: half of the pairs at a similarity of 0.74, 96 of 100 at 0.8,
 and one in a thousand at 0.62.
 
-Equal fingerprints are one node from the start, so a group of copies of any size is one row in the
-comparison; linked nodes leave a task as stars, never as all pairs.
+The stage that drops near copies decides by the Jaccard similarity itself: shared over all different
+shingles of five words, at least ``SHARED``. There fingerprints of the sets, with the wide limits of
+``CANDIDATES``, only say which pairs to look at, and a join brings the two sets of each pair together
+(as hashes of 64 bits). Pairs are looked at in two steps, so that a group of near copies does not cost all
+its pairs: first every set with its nearest one before it, then the pairs that the first step left apart.
+
+Equal fingerprints (in the stage: equal sets) are one node from the start, so a group of copies of any
+size is one row in the comparison; where fingerprints decide, linked nodes leave a task as stars.
 
 Defined results: null text counts as empty; a text without words has fingerprint 0 and is linked
 like any other. Rows that repeat an id are returned as often as they occur. Null ids do not count for
@@ -50,6 +56,7 @@ class Measure:
     words: int = 1
     radius: int = 3
     first: int | None = None
+    second: int | None = None
 
     @property
     def near(self) -> int:
@@ -58,6 +65,12 @@ class Measure:
 
 STRICT = Measure()
 SIMILAR = Measure(width=5, words=8, radius=92, first=19)
+#: Pairs at 0.8 differ in 10 +- 3 bits of a word and 78 +- 8 of all (sets of four in five: 12 +- 3, 96 +- 9).
+CANDIDATES = Measure(width=5, words=8, radius=132, first=24, second=44)
+#: The least similarity of linked sets, as a fraction.
+SHARED = (4, 5)
+#: Candidate pairs that a task hands on at once.
+PAIRS = 1 << 16
 
 
 def shingle_hashes(text: bytes, width: int = 3, seed: int = SEED) -> bytes:
@@ -127,17 +140,53 @@ def _fingerprints(measure: Measure):
     return run
 
 
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The different hashes of the shingles, ascending."""
+    return np.unique(np.frombuffer(shingle_hashes(text, width), dtype=">u8").astype(np.uint64))
+
+
+def _set_names(measure: Measure):
+    """Like ``_fingerprints``, of sets; fp goes on with a digest of the set and its size, so it names the set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            sets = [shingle_set(t, measure.width).astype(">u8").tobytes() for t in batch.column("_text").to_pylist()]
+            bits = majority_bits(sets, measure.words).astype(">u8")
+            found = [
+                row.tobytes() + xxhash.xxh3_128_digest(s, SEED) + (len(s) // 8).to_bytes(8, "big") for row, s in zip(bits, sets)
+            ]
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return run
+
+
+def _sets(width: int):
+    schema = pa.schema([("fp", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            sets = [shingle_set(t, width).view(np.int64) for t in batch.column("_text").to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([batch.column("fp").cast(pa.binary()), shingles], schema=schema)
+
+    return run
+
+
 def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def fingerprints(docs: DataFrame, measure: Measure = STRICT) -> DataFrame:
-    """doc_id, text_key (tells rows that share an id apart) and fp, big-endian bytes."""
+def fingerprints(docs: DataFrame, measure: Measure = STRICT, named: bool = False) -> DataFrame:
+    """doc_id, text_key (tells rows that share an id apart) and fp, big-endian bytes; ``named``: see ``_set_names``."""
     ship_package(docs.sparkSession)
     source = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), binary_text().alias("_text")
     )
-    return source.mapInArrow(_fingerprints(measure), "doc_id bigint, text_key bigint, fp binary")
+    made = _set_names(measure) if named else _fingerprints(measure)
+    return source.mapInArrow(made, "doc_id bigint, text_key bigint, fp binary")
 
 
 def _sub_tiles(fps: np.ndarray):
@@ -150,17 +199,12 @@ def _sub_tiles(fps: np.ndarray):
     return order, cuts, np.minimum.reduceat(ones, cuts), np.maximum.reduceat(ones, cuts)
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray | None, measure: Measure = STRICT) -> tuple[np.ndarray, np.ndarray]:
-    """Stars (position, root) of the links within tile a, or between tiles a and b.
-
-    Rows are fingerprints. Positions of b follow those of a.
-    """
+def _near(a: np.ndarray, b: np.ndarray | None, measure: Measure) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions in a, and in b (or a again), of all pairs within the limits."""
     order_a, cuts_a, low_a, high_a = tiles_a = _sub_tiles(a[:, 0])
     order_b, cuts_b, low_b, high_b = tiles_a if b is None else _sub_tiles(b[:, 0])
     other_rows = a if b is None else b
     sorted_a, sorted_b = a[order_a, 0], other_rows[order_b, 0]
-    shift = 0 if b is None else len(a)
-    links = Links(shift + len(other_rows))
     for i, start in enumerate(cuts_a):
         gap = np.maximum(low_b - high_a[i], 0) + np.maximum(low_a[i] - high_b, 0)
         near = np.flatnonzero(gap.sum(axis=1) <= measure.near)
@@ -171,50 +215,141 @@ def close_pairs(a: np.ndarray, b: np.ndarray | None, measure: Measure = STRICT)
             if b is None and j == i:
                 x, y = x[x < y], y[x < y]
             x, y = order_a[start + x], order_b[cuts_b[j] + y]
+            if measure.second is not None and len(x):
+                differ = np.bitwise_count(a[x, 0] ^ other_rows[y, 0]) + np.bitwise_count(a[x, 1] ^ other_rows[y, 1])
+                x, y = x[differ <= measure.second], y[differ <= measure.second]
             if measure.words > 1 and len(x):
                 differ = np.bitwise_count(a[x] ^ other_rows[y]).sum(axis=1)
                 x, y = x[differ <= measure.radius], y[differ <= measure.radius]
-            links.add(x, y + shift)
+            yield x, y
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray | None, measure: Measure = STRICT) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (position, root) of the links within tile a, or between tiles a and b.
+
+    Rows are fingerprints. Positions of b follow those of a.
+    """
+    shift = 0 if b is None else len(a)
+    links = Links(shift + len(a if b is None else b))
+    for x, y in _near(a, b, measure):
+        links.add(x, y + shift)
     return links.stars()
 
 
-def _compare(measure: Measure):
-    """Rows (lo, hi, side, fp) sorted by tile pair: stars of the links of each pair of tiles."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+_EDGES = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _edges(names: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names[a], pa.binary()), pa.array(names[b], pa.binary())], schema=_EDGES)
+
+
+def _sides(side: np.ndarray, fps: np.ndarray, measure: Measure):
+    """Names in order of side, and the fingerprints (the first words of the names) of each side."""
+    names = fps[np.argsort(side, kind="stable")]
+    rows = np.frombuffer(b"".join(n[: 8 * measure.words] for n in names), dtype=">u8").astype(np.uint64)
+    rows, first = rows.reshape(-1, measure.words), np.count_nonzero(side == 0)
+    return names, rows[:first], rows[first:] if first < len(names) else None
 
-    def links_of(side: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        rows = np.frombuffer(b"".join(fps), dtype=">u8").astype(np.uint64).reshape(-1, measure.words)
-        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        a, b = close_pairs(rows[first], rows[second] if len(second) else None, measure)
-        names = fps[np.concatenate((first, second))]
-        return pa.RecordBatch.from_arrays([pa.array(names[a], pa.binary()), pa.array(names[b], pa.binary())], schema=schema)
+
+def _per_tile_pair(found):
+    """Rows (lo, hi, side, fp, ...) sorted by tile pair: edges that ``found`` makes of each pair of tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lo, hi, side, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            lo, hi, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             change = np.flatnonzero((np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
             for start, stop in zip([0, *change], [*change, len(lo)]):
                 here = (lo[start], hi[start])
                 if held and here != key:
-                    yield links_of(*map(np.concatenate, zip(*held)))
+                    yield from found(*map(np.concatenate, zip(*held)))
                     held = []
                 key = here
-                held.append((side[start:stop].copy(), fp[start:stop]))
+                held.append([c[start:stop].copy() for c in rest])
         if held:
-            yield links_of(*map(np.concatenate, zip(*held)))
+            yield from found(*map(np.concatenate, zip(*held)))
 
     return run
 
 
+def _compare(measure: Measure):
+    """Stars of the links of each pair of tiles."""
+
+    def found(side: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names, first, second = _sides(side, fps, measure)
+        yield _edges(names, *close_pairs(first, second, measure))
+
+    return _per_tile_pair(found)
+
+
+def _set_candidates(measure: Measure):
+    """(names, fingerprints, pairs): pairs within the limits whose sizes allow the similarity."""
+    part, whole = SHARED
+
+    def pairs(side: np.ndarray, fps: np.ndarray):
+        names, first, second = _sides(side, fps, measure)
+        sizes = np.array([int.from_bytes(n[-8:], "big") for n in names], dtype=np.int64)
+        shift = 0 if second is None else len(first)
+
+        def run() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for x, y in _near(first, second, measure):
+                y = y + shift
+                fit = whole * np.minimum(sizes[x], sizes[y]) >= part * np.maximum(sizes[x], sizes[y])
+                yield x[fit], y[fit]
+
+        return names, first if second is None else np.concatenate((first, second)), run
+
+    return pairs
+
+
+def _nearest(measure: Measure):
+    """Of each set the nearest candidate among those before it, in each pair of tiles."""
+    candidates = _set_candidates(measure)
+
+    def found(side: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names, rows, pairs = candidates(side, fps)
+        best = np.full(len(names), np.iinfo(np.int64).max)
+        for x, y in pairs():
+            if len(x):
+                differ = np.bitwise_count(rows[x] ^ rows[y]).sum(axis=1).astype(np.int64)
+                np.minimum.at(best, np.maximum(x, y), differ << 32 | np.minimum(x, y))
+        has = np.flatnonzero(best < np.iinfo(np.int64).max)
+        yield _edges(names, has, best[has] & 0xFFFFFFFF)
+
+    return _per_tile_pair(found)
+
+
+def _apart(measure: Measure):
+    """All candidates whose sets are not joined yet, by the further column of their roots."""
+    candidates = _set_candidates(measure)
+
+    def found(side: np.ndarray, fps: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names, _, pairs = candidates(side, fps)
+        number: dict[bytes, int] = {}
+        label = np.array([number.setdefault(r, len(number)) for r in roots[np.argsort(side, kind="stable")]], dtype=np.int64)
+        left, right, held = [], [], 0
+        for x, y in pairs():
+            apart = label[x] != label[y]
+            left.append(x[apart])
+            right.append(y[apart])
+            held += len(left[-1])
+            if held >= PAIRS:
+                yield _edges(names, np.concatenate(left), np.concatenate(right))
+                left, right, held = [], [], 0
+        if held:
+            yield _edges(names, np.concatenate(left), np.concatenate(right))
+
+    return _per_tile_pair(found)
+
+
 def tile_pairs(distinct: DataFrame, measure: Measure = STRICT, tile: int = TILE) -> DataFrame:
     """Rows (lo, hi, side, fp): every fingerprint once for each pair of tiles that it takes part in.
 
     A cell is a pair of bit counts of the halves of the first word, in steps of a third of the radius;
     there are at most 33 x 33. A cell above ``tile`` rows is dealt to several tiles by hash. A pair of
-    equal tiles has side 0 only.
+    equal tiles has side 0 only. Further columns of ``distinct`` follow.
     """
     spark = distinct.sparkSession
     step = max(1, measure.near // 3)
@@ -236,27 +371,41 @@ def tile_pairs(distinct: DataFrame, measure: Measure = STRICT, tile: int = TILE)
     # One row per cell: at most 1089 of them.
     frame = F.broadcast(spark.createDataFrame(near, "cell int, tiles bigint, others array<bigint>"))
     own = (F.shiftleft(F.col("cell").cast("bigint"), 32) + F.pmod(F.xxhash64("fp"), F.col("tiles"))).alias("own")
-    pairs = celled.join(frame, "cell").select("fp", own, F.explode("others").alias("other"))
+    further = [c for c in distinct.columns if c != "fp"]
+    pairs = celled.join(frame, "cell").select("fp", *further, own, F.explode("others").alias("other"))
     return pairs.select(
         F.least("own", "other").alias("lo"),
         F.greatest("own", "other").alias("hi"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
         "fp",
+        *further,
     )
 
 
+def _dealt(distinct: DataFrame, measure: Measure, tile: int) -> DataFrame:
+    return tile_pairs(distinct, measure, tile).repartition("lo", "hi").sortWithinPartitions("lo", "hi")
+
+
 def near_groups(docs: DataFrame, measure: Measure = STRICT, tile: int = TILE) -> DataFrame:
     """doc_id, text_key, fp, component_id and kept for every row.
 
     component_id is the smallest id reachable over the links of ``measure``. ``kept`` marks the
     row with that id; where several texts share it, the one with the smallest key.
     """
-    rows = store(fingerprints(docs, measure), "fingerprints")
+    rows, nodes = _nodes(fingerprints(docs, measure))
+    roots = components(_dealt(nodes.select("fp"), measure, tile).mapInArrow(_compare(measure), "a binary, b binary"))
+    return _grouped(rows, nodes, roots)
+
+
+def _nodes(fingerprinted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows, and each different fp with its least row."""
+    rows = store(fingerprinted, "fingerprints")
     # A null id stands behind all others.
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    nodes = store(rows.groupBy("fp").agg(F.min(place).alias("least")), "fingerprint-nodes")
-    dealt = tile_pairs(nodes.select("fp"), measure, tile).repartition("lo", "hi").sortWithinPartitions("lo", "hi")
-    roots = components(dealt.mapInArrow(_compare(measure), "a binary, b binary"))
+    return rows, store(rows.groupBy("fp").agg(F.min(place).alias("least")), "fingerprint-nodes")
+
+
+def _grouped(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     rooted = rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("first"))
@@ -268,13 +417,45 @@ def near_groups(docs: DataFrame, measure: Measure = STRICT, tile: int = TILE) ->
     )
 
 
-def drop_near_duplicates(docs: DataFrame, measure: Measure = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group, with all their columns.
+def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are as similar as ``SHARED`` asks for."""
+    part, whole = SHARED
+    pairs = store(pairs, "near-candidates")
+    named = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    named = named.join(nodes, "fp").select(
+        F.col("fp").alias("__near_fp"), F.col("least.doc_id").alias("__near_id"), F.col("least.text_key").alias("__near_key")
+    )
+    match = docs["doc_id"].cast("bigint").eqNullSafe(F.col("__near_id")) & (text_key() == F.col("__near_key"))
+    texts = docs.join(named, match).select(F.col("__near_fp").alias("fp"), binary_text().alias("_text"))
+    sets = texts.mapInArrow(_sets(width), "fp binary, shingles array<bigint>").dropDuplicates(["fp"])
+    sets = store(sets, "near-sets")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
+    both = both.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    enough = (part + whole) * shared >= part * (F.size("x") + F.size("y"))  # shared / all >= part / whole
+    return store(both.filter(enough).select("a", "b"), "near-links")
+
+
+def similar_groups(docs: DataFrame, measure: Measure = CANDIDATES, tile: int = TILE) -> DataFrame:
+    """As ``near_groups``, over links between sets of shingles with a Jaccard similarity of ``SHARED`` or more."""
+    rows, nodes = _nodes(fingerprints(docs, measure, named=True))
+    edges = "a binary, b binary"
+    nearest = _dealt(nodes.select("fp"), measure, tile).mapInArrow(_nearest(measure), edges)
+    links = _similar(docs, nodes, nearest, measure.width)
+    roots = components(links).withColumnRenamed("node", "fp")
+    labelled = store(nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "near-labels")
+    apart = _dealt(labelled, measure, tile).mapInArrow(_apart(measure), edges)
+    more = _similar(docs, nodes, apart, measure.width)
+    return _grouped(rows, nodes, components(links.unionByName(more)))
+
+
+def drop_near_duplicates(docs: DataFrame, measure: Measure = CANDIDATES) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group of ``similar_groups``, with all their columns.
 
     The row with the smallest id stays. Of rows that repeat both id and text, the one whose other
     columns sort first stays.
     """
-    groups = store(near_groups(docs, measure), "near-groups")
+    groups = store(similar_groups(docs, measure), "near-groups")
     keys = [F.col("doc_id").alias("__near_id"), F.col("text_key").alias("__near_key")]
     match = docs["doc_id"].eqNullSafe(F.col("__near_id")) & (text_key() == F.col("__near_key"))
     single = docs.join(groups.filter("not kept").select(*keys).distinct(), match, "left_anti")

@@ -14,6 +14,7 @@ from .fixtures import documents, rows
 from .test_exact_dedup import plain
 from .test_mixing import hash_of, loop_targets, size
 from .test_packing import reference
+from .test_simhash import loop_components, set_of
 
 DATA = "/root/testdata/sf0.001"
 
@@ -97,3 +98,18 @@ def test_queries_with_sql_agree_with_it(spark):
     for name in ("op1_exact_dedup", "op3_mix_sources"):
         assert compare(entry.queries()[name](spark, DATA), con, entry.oracle_sql()[name]) == []
     assert mixing.SQL
+
+
+def loop_similar(docs):
+    """As ``loop_near``, over all pairs of sets of five-word shingles with a Jaccard similarity of 0.8."""
+    sets = [set_of(d[1]) for d in docs]
+    root = loop_components(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    least = {}
+    for d, r in sorted(zip(docs, root)):
+        least.setdefault(r, d)
+    return sorted(least.values())
+
+
+def test_run_against_brute_force_on_jaccard(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "loop_near", loop_similar)
+    test_run_against_loops(spark)
