@@ -3,7 +3,11 @@
 A vocabulary learned from text spends few tokens on text and many on random strings. So a long run of
 letters and digits that gets few characters per token is taken for a secret, unless it is a known
 form of something public: a digest in hexadecimal, a UUID, or an identifier whose parts are words and
-numbers.
+numbers. The run is tested as a whole and by its parts between joints: parts that are no words, numbers,
+digests or UUIDs count together, so a readable path or name before a random string does not hide it.
+A part is a word by its own characters per token, not by its form; letters of one case need fewer of them
+(``FEWEST_IN_ONE_CASE``) than a part with digits or capitals inside, because rare words tokenize badly too.
+A run is told whole.
 
 Defined results: null text counts as empty and has no spans. Offsets count code points. Rows are kept
 as they come, repeated ones too. An empty table gives no rows.
@@ -37,10 +41,14 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: A run shorter than this is left alone; a longer one needs more characters per token to pass.
 MIN_RUN, FEWEST_CHARS_PER_TOKEN = 16, 2.0
+#: The same for a part of letters in one case, a first capital aside.
+FEWEST_IN_ONE_CASE = 1.8
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_INNER_UUID = re.compile(rf"(?<![A-Za-z0-9])(?:{_UUID.pattern})(?![A-Za-z0-9])")
+_SHORT = re.compile(r"[A-Za-z]{1,3}[0-9]{0,4}")
 _JOINTS = re.compile(r"[+/_=-]")
 _NAME_PART = re.compile(r"[A-Za-z]*[0-9]{0,4}|[0-9]+")
 
@@ -81,6 +89,23 @@ def is_public_form(run: str) -> bool:
     return bool(_UUID.fullmatch(run)) or all(map(_NAME_PART.fullmatch, _JOINTS.split(run)))
 
 
+def is_readable(part: str, encoding, fewest: float = FEWEST_CHARS_PER_TOKEN) -> bool:
+    """Words, numbers and digests; up to three letters with up to four digits (``v2``) are too short to tell."""
+    if not part or part.isdigit() or len(part) in _DIGEST_LENGTHS and _ALL_HEX.fullmatch(part) or _SHORT.fullmatch(part):
+        return True
+    if part.isalpha() and (part.isupper() or part[1:].islower()):
+        fewest = min(fewest, FEWEST_IN_ONE_CASE)
+    return len(part) > fewest * len(encoding.encode_ordinary(part))
+
+
+def has_random_parts(run: str, encoding, fewest: float = FEWEST_CHARS_PER_TOKEN) -> bool:
+    """Whether the parts that are not readable make up a run of their own."""
+    parts = _JOINTS.split(_INNER_UUID.sub("-", run))
+    if sum(map(len, parts)) < MIN_RUN:
+        return False
+    return sum(len(p) for p in parts if not is_readable(p, encoding, fewest)) >= MIN_RUN
+
+
 def random_runs(text: str, encoding, fewest: float = FEWEST_CHARS_PER_TOKEN) -> list[tuple[int, int, str]]:
     """Runs of letters and digits with few characters per token."""
     if max(map(len, text.split()), default=0) < MIN_RUN:
@@ -89,7 +114,8 @@ def random_runs(text: str, encoding, fewest: float = FEWEST_CHARS_PER_TOKEN) ->
     for m in _RUN.finditer(text):
         run = m[0]
         mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
-        if mixed and not is_public_form(run) and len(run) <= fewest * len(encoding.encode_ordinary(run)):
+        whole = mixed and not is_public_form(run) and len(run) <= fewest * len(encoding.encode_ordinary(run))
+        if whole or has_random_parts(run, encoding, fewest):
             found.append((m.start(), m.end(), "random"))
     return found
 

@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 from tallyloom.llm import secret_scan as S
 
@@ -45,3 +47,23 @@ def test_rows_and_empty_table(spark):
         got = [(s["start"], s["end"], s["kind"]) for s in r["spans"] if s["kind"] != "random"]
         text = [*TEXTS, ""][r["doc_id"]]
         assert got == sorted(loop(text), key=lambda s: (s[0], S.KINDS.index(s[2])))
+
+
+def test_random_strings_of_every_class():
+    encoding, rng = S.vocabulary(S.default_ranks()), random.Random(2)
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+
+    def found(before, alphabet, n, after=""):
+        texts = [before + "".join(rng.choice(alphabet) for _ in range(n)) + after for _ in range(300)]
+        return sum(S.random_runs(t, encoding) == [(0, len(t), "random")] for t in texts)
+
+    assert found("", lower + upper, 24) >= 297  # letters only
+    assert found("", lower + upper, 20, "42") >= 297  # letters, then a number
+    for readable in ("/usr/lib/python3/site-packages/", "service_account_name=", "https-callback-identifier-", "my/config="):
+        assert found(readable, lower + upper + digits, 24) >= 297, readable
+    assert found("", lower, 32) >= 180 and found("", upper, 32) >= 270  # one case: the stricter ratio
+    for public in (
+        "getElementsByTagName", "Donaudampfschifffahrtsgesellschaft", "/items/550e8400-e29b-41d4-a716-446655440000",
+        "/blobs/D41D8CD98F00B204E9800998ECF8427E", "internationalization2024", "a/b/c/d/e/f/g/h/i/j/k/l/m/n/o/p", "=" * 60,
+    ):
+        assert not S.has_random_parts(public, encoding), public
