@@ -8,7 +8,8 @@ lower ranks win and the others go on to the next one; what finds no gap opens ne
 the gaps are updated. The rounds fix which ranks of a class meet which run of sequences, and every
 piece finds its sequence by its rank in one distributed join. No piece visits the driver.
 
-Defined results: null text is an empty document, which still holds the end token. Repeated rows are
+Defined results: null text is an empty document, which still holds the end token. The string of an added
+token in a text is that token, as for the tokenizer without ``add_special_tokens``. Repeated rows are
 packed as often as they occur. An empty table gives no rows.
 """
 
@@ -86,13 +87,18 @@ class WordwiseEncoder:
 
     Where the merges of the vocabulary are in the order of the ids, parts of letters, digits or marks
     are merged by ``tiktoken`` from the same file, which is quicker; all else goes to ``tokenizers``.
+
+    With ``added``, as in packing, the string of an added token (``<|endoftext|>``) is that token wherever
+    it stands, as the tokenizer file has it; a text that holds one goes to ``tokenizers`` as a whole.
+    Without, the strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.merge = self._merger(path)
         self.spaced = _Words(" ", self.merge, self.word)
         self.bare = _Words("", self.merge, self.word)
@@ -133,7 +139,7 @@ class WordwiseEncoder:
         return self.part(space + parts[0]) + b"".join(map(self.part, parts[1:]))
 
     def encode(self, text: str) -> bytes:
-        if self.merge is None or any(c in text for c in _SEPARATORS):
+        if self.merge is None or any(c in text for c in (*_SEPARATORS, *self.added)):
             return self.general(text)
         out, head = [], self.bare
         pieces = _BREAK.split(text)
@@ -159,7 +165,7 @@ class WordwiseEncoder:
 @lru_cache(maxsize=1)
 def encoder(path: str) -> WordwiseEncoder:
     """One per worker process."""
-    return WordwiseEncoder(path)
+    return WordwiseEncoder(path, added=True)
 
 
 def piece_bounds(length: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:

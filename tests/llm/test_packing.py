@@ -91,3 +91,18 @@ def test_every_piece_of_awkward_documents(spark):
 
 def test_empty_table(spark):
     assert P.pack(nothing(spark)).collect() == []
+
+
+def test_added_tokens_are_those_of_an_untouched_tokenizer(spark):
+    tokenizer = Tokenizer.from_file(P.default_tokenizer())
+    words, rng = P.WordwiseEncoder(P.default_tokenizer(), added=True), random.Random(6)
+    texts = ["end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b", "<|endoftext|", "< |endoftext|>"]
+    texts += ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [437, 220, 50256, 1306]
+    for text, ids in zip(texts, want):
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == ids, repr(text)
+    docs = spark.createDataFrame(list(enumerate(texts[:300])), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in P.pack(docs).collect()}
+    crc = [zlib.crc32(np.array([*ids, 2], dtype="<u4").tobytes()) for ids in want[:300]]
+    assert got == {i: (len(want[i]) + 1, crc[i]) for i in range(300)}
