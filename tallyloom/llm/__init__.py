@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("exact_dedup", "quality", "mixing", "packing", "sharding", "chat", "secret_scan", "cover_tree", "language", "simhash", "periodic", "importance")
+MODULES = ("exact_dedup", "quality", "mixing", "packing", "sharding", "chat", "secret_scan", "cover_tree", "language", "simhash", "periodic", "importance", "site_tree")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
