@@ -1,30 +1,28 @@
 """Forecasters of many daily series: folds, seasonal naive, linear and boosted-tree models.
 
 Models are fitted by Spark on the pooled rows of all series. A recursive forecast needs its own
-earlier predictions, so it runs series by series inside ``applyInPandas``: each group is the last
-year of one series plus the days to predict, with every feature that does not depend on a
-prediction already computed by Spark.
+earlier predictions; ``rollout`` takes each step for all series of a batch at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.expr import calendar_columns, ratio
+from tallyloom.functions.expr import ratio
 from tallyloom.functions.series import series_window
 from tallyloom.operators import features as feats
-from tallyloom.operators.decompose import unfold_horizon
-from tallyloom.session import scratch_path, scratch_root, ship_package
+from tallyloom.operators.rollout import BY_MODEL, SHORT_HISTORY, one_target, roll_out, two_targets  # noqa: F401
+from tallyloom.session import scratch_path, scratch_root
 
 HORIZON = 120
 N_FOLDS = 3
@@ -176,17 +174,23 @@ class Scorer:
     right: np.ndarray | None = None
     value: np.ndarray | None = None
     depth: int = 0
-    _index: np.ndarray | None = field(default=None, repr=False)
 
     def predict(self, x: np.ndarray) -> float:
+        return float(self.predict_many(x[None, :])[0])
+
+    def predict_many(self, x: np.ndarray) -> np.ndarray:
+        """Predictions for the rows of a matrix; all rows walk all trees together.
+
+        Sums go row by row, so that a prediction does not depend on the rows beside it.
+        """
         if self.coefficients is not None:
-            return float(self.coefficients @ x + self.intercept)
-        trees = np.arange(len(self.weights))
-        node = np.zeros(len(self.weights), dtype=np.int64)
+            return (x * self.coefficients).sum(axis=1) + self.intercept
+        trees, rows = np.arange(len(self.weights)), np.arange(len(x))[:, None]
+        node = np.zeros((len(x), len(self.weights)), dtype=np.int64)
         for _ in range(self.depth):
-            goes_left = x[self.feature[trees, node]] <= self.threshold[trees, node]
+            goes_left = x[rows, self.feature[trees, node]] <= self.threshold[trees, node]
             node = np.where(goes_left, self.left[trees, node], self.right[trees, node])
-        return float(self.weights @ self.value[trees, node])
+        return (self.value[trees, node] * self.weights).sum(axis=1)
 
 
 def linear_scorer(model, features: Sequence[str]) -> Scorer:
@@ -229,125 +233,11 @@ def boosted_scorer(model: GBTRegressionModel, features: Sequence[str], spark) ->
 # Recursive forecasts ---------------------------------------------------------------------------
 
 
-def _history_features(history: np.ndarray, prefix: str = "") -> dict[str, float]:
-    """Lags and rolling statistics of one growing series, as the window features define them."""
-    out = {f"{prefix}lag_{k}": history[-k] for k in feats.LAGS}
-    for w in feats.WINDOWS:
-        last = history[-w:]
-        out[f"{prefix}roll_mean_{w}"] = last.mean()
-        out[f"{prefix}roll_std_{w}"] = last.std(ddof=1)
-        out[f"{prefix}roll_min_{w}"] = last.min()
-        out[f"{prefix}roll_max_{w}"] = last.max()
-    return out
-
-
-def _single_row(known: dict, history: np.ndarray) -> dict[str, float]:
-    row = {**known, **_history_features(history)}
-    row["mom_7"] = row["lag_1"] - row["lag_7"]
-    row["mom_28"] = row["lag_1"] - row["lag_28"]
-    row["ratio_7_28"] = (row["roll_mean_7"] + 1.0) / (row["roll_mean_28"] + 1.0)
-    for name in feats.PROFILES:
-        if name in row and np.isnan(row[name]):
-            row[name] = row["roll_mean_28"]
-    return row
-
-
-def _dual_row(known: dict, rev: np.ndarray, cogs: np.ndarray) -> dict[str, float]:
-    row = {**known, **_history_features(rev, "rev_"), **_history_features(cogs, "cogs_")}
-    row["spread_lag_1"] = rev[-1] - cogs[-1]
-    row["spread_lag_7"] = rev[-7] - cogs[-7]
-    row["ratio_lag_1"] = cogs[-1] / max(rev[-1], 1.0)
-    row["ratio_roll_7"] = row["cogs_roll_mean_7"] / max(row["rev_roll_mean_7"], 1.0)
-    for p, h in (("rev", rev), ("cogs", cogs)):
-        row[f"{p}_mom_7"] = h[-1] - h[-7]
-        row[f"{p}_mom_28"] = h[-1] - h[-28]
-    return row
-
-
-def _with_future(
-    train: DataFrame, days: int, values: Sequence[str], keys: Sequence[str], profiles: bool
-) -> tuple[DataFrame, list[str]]:
-    """Last year of each series and the days ahead, in one frame.
-
-    Days ahead carry every feature known beforehand: calendar, position and, if asked for, the
-    weekday and day-of-year medians of the training values.
-    """
-    keys = list(keys)
-    w = series_window(keys)
-    numbered = train.withColumn("_back", F.row_number().over(w.orderBy(F.col("date").desc())))
-    history = numbered.filter(F.col("_back") <= feats.MAX_LAG).select(
-        *keys, "date", *[F.col(v).cast("double").alias(v) for v in values]
-    )
-    ends = train.groupBy(*keys).agg(F.max("date").alias("last_date"), F.count(F.lit(1)).alias("_n"))
-    ahead = unfold_horizon(ends, days)
-    known = {**calendar_columns(), "trend_idx": (F.col("_n") + F.col("step") - 1).cast("double")}
-    names = list(known)
-    ahead = ahead.withColumns(known)
-    if profiles:
-        value = values[0]
-        for name, part in (("dow_profile", F.weekday("date")), ("doy_profile", F.dayofyear("date"))):
-            medians = train.groupBy(*keys, part.alias("_part")).agg(F.percentile(value, F.lit(0.5)).alias(name))
-            ahead = ahead.withColumn("_part", part).join(medians, [*keys, "_part"], "left").drop("_part")
-            names.append(name)
-    ahead = ahead.select(*keys, "date", *names)
-    return history.unionByName(ahead, allowMissingColumns=True), names
-
-
-def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
-    types = dict(df.dtypes)
-    return "".join(f"{k} {types[k]}, " for k in keys)
-
-
-def _keyed(train: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """A key to group by, also for a frame that is one series; the tasks get the package."""
-    ship_package(train.sparkSession)
-    return (train, list(keys)) if keys else (train.withColumn("_series", F.lit("all")), ["_series"])
-
-
-#: How a rollout came about.
-BY_MODEL, SHORT_HISTORY = "model", "short_history"
-
-
-def _repeat_last_week(history: np.ndarray, known: int) -> None:
-    """Fill the days ahead with the last week, or with what there is of it; never below zero."""
-    season = min(7, known)
-    for i in range(known, len(history)):
-        history[i] = max(history[i - season], 0.0)
-
-
 def recursive_forecast(
     train: DataFrame, days: int, scorer: Scorer, value: str = "revenue", keys: Sequence[str] = ()
 ) -> DataFrame:
-    """One target, day after day, each prediction becoming history; never below zero.
-
-    A series with less than a year of history has no features for the model: it repeats its last week
-    and says so in ``status``.
-    """
-    train, keys = _keyed(train, keys)
-    profiles = any(p in scorer.features for p in feats.PROFILES)
-    frame, names = _with_future(train, days, [value], keys, profiles)
-
-    def roll(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", ignore_index=True)
-        past = pdf[pdf[names[0]].isna()]
-        ahead = pdf[pdf[names[0]].notna()]
-        history = np.empty(len(past) + len(ahead))
-        history[: len(past)] = past[value]
-        short = len(past) < feats.MAX_LAG
-        if short:
-            _repeat_last_week(history, len(past))
-        else:
-            for i, known in enumerate(ahead[names].to_dict("records"), start=len(past)):
-                row = _single_row(known, history[:i])
-                history[i] = max(scorer.predict(np.array([row[f] for f in scorer.features])), 0.0)
-        out = ahead[[*keys, "date"]].copy()
-        out["predicted"] = history[len(past) :]
-        out["status"] = SHORT_HISTORY if short else BY_MODEL
-        return out
-
-    schema = f"{_key_schema(train, keys)}date date, predicted double, status string"
-    out = frame.groupBy(*keys).applyInPandas(roll, schema)
-    return out.drop("_series")
+    """One target, day after day, each prediction becoming history; never below zero."""
+    return roll_out(train, days, [scorer], [value], ["predicted"], one_target, keys)
 
 
 def recursive_forecast_by_fold(
@@ -358,41 +248,14 @@ def recursive_forecast_by_fold(
         recursive_forecast(train.filter(F.col("fold_id") == fold), days, scorer, value, ["fold_id", *keys])
         for fold, scorer in scorers.items()
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def recursive_dual_forecast(
     train: DataFrame, days: int, revenue: Scorer, cogs: Scorer, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Revenue and cost of goods together: each prediction feeds the features of both."""
-    train, keys = _keyed(train, keys)
-    frame, names = _with_future(train, days, ["revenue", "cogs"], keys, profiles=False)
-
-    def roll(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", ignore_index=True)
-        past = pdf[pdf[names[0]].isna()]
-        ahead = pdf[pdf[names[0]].notna()]
-        n = len(past)
-        rev, cost = np.empty(n + len(ahead)), np.empty(n + len(ahead))
-        rev[:n], cost[:n] = past["revenue"], past["cogs"]
-        short = n < feats.MAX_LAG
-        if short:
-            _repeat_last_week(rev, n), _repeat_last_week(cost, n)
-        for i, known in enumerate([] if short else ahead[names].to_dict("records"), start=n):
-            row = _dual_row(known, rev[:i], cost[:i])
-            x = np.array([row[f] for f in revenue.features])
-            rev[i] = max(revenue.predict(x), 0.0)
-            cost[i] = max(cogs.predict(x), 0.0)
-        out = ahead[[*keys, "date"]].copy()
-        out["revenue_raw"], out["cogs_raw"] = rev[n:], cost[n:]
-        out["status"] = SHORT_HISTORY if short else BY_MODEL
-        return out
-
-    schema = f"{_key_schema(train, keys)}date date, revenue_raw double, cogs_raw double, status string"
-    return frame.groupBy(*keys).applyInPandas(roll, schema).drop("_series")
+    return roll_out(train, days, [revenue, cogs], ["revenue", "cogs"], ["revenue_raw", "cogs_raw"], two_targets, keys)
 
 
 # Combination -----------------------------------------------------------------------------------
