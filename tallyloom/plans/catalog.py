@@ -135,6 +135,8 @@ def with_views(body: str) -> str:
     if not ctes:
         return body.strip()
     text = body.strip()
+    if text.lower().startswith("with recursive "):
+        return "with recursive " + ",\n".join(ctes) + ",\n" + text[15:]
     if text.lower().startswith("with "):
         return "with " + ",\n".join(ctes) + ",\n" + text[5:]
     return "with " + ",\n".join(ctes) + "\n" + text

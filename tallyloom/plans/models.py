@@ -17,9 +17,12 @@ from tallyloom.operators import backtest as b
 from tallyloom.operators import explain as x
 from tallyloom.operators import features as e
 from tallyloom.operators import forecast as f
+from tallyloom.operators import least_squares as ls
 from tallyloom.operators.audit import output_contract, union_all
+from tallyloom.plans import linear_sql as sql
 from tallyloom.plans.catalog import query
-from tallyloom.plans.common import daily_sales, once, only_one, panel_sales
+from tallyloom.plans.common import daily_sales, once, only_one, panel_sales, rounded
+from tallyloom.plans.series import _RANKED, _backtest, _metrics_sql, _naive_sql
 from tallyloom.session import data_version
 
 KEYS = ["series"]
@@ -103,13 +106,25 @@ def _linear_rows(t, keys=()) -> DataFrame:
     return e.supervised(e.baseline_features(source, "revenue", keys), e.BASELINE_FEATURES, ["revenue"], keys)
 
 
-def _linear(t, keys=()):
-    def fit():
-        return f.linear_scorer(f.fit_linear(_linear_rows(t, keys), e.BASELINE_FEATURES, "revenue"), e.BASELINE_FEATURES)
+def _linear_models(t, keys=()) -> dict[int, f.Scorer]:
+    """The models of the folds and, as the last, of all rows; solved from one pass over the rows."""
+
+    def fit() -> dict[int, f.Scorer]:
+        rows, columns = _linear_rows(t, keys), [*e.BASELINE_FEATURES, "revenue"]
+        blocks = ls.moments(rows, columns, ls.fold_block(rows.select(F.max("date")).scalar(), f.HORIZON, f.N_FOLDS))
+        out = {}
+        for fold in range(1, f.N_FOLDS + 2):
+            slopes, intercept = ls.up_to(blocks, fold).solve()
+            out[fold] = f.Scorer(tuple(e.BASELINE_FEATURES), intercept, slopes)
+        return out
 
     return fitted(t, f"linear{len(keys)}", fit)
 
 
+def _linear(t, keys=()) -> f.Scorer:
+    return _linear_models(t, keys)[f.N_FOLDS + 1]
+
+
 def _fold_fits(t, name: str, rows: DataFrame, fit: Callable[[DataFrame], f.Scorer]) -> dict[str, Callable]:
     """One fit per fold from the rows before its validation window."""
     in_folds = f.training_rows(rows)
@@ -158,42 +173,53 @@ def _dual_scorers(t, rows: DataFrame, name: str) -> tuple[f.Scorer, f.Scorer]:
 # Linear ----------------------------------------------------------------------------------------
 
 
-@query("F04_linear_coefficients")
+@query("F04_linear_coefficients", sql.COEFFICIENTS)
 def f04(t):
     scorer = _linear(t)
     rows = [*zip(scorer.features, map(float, scorer.coefficients)), ("intercept", scorer.intercept)]
-    return t.spark.createDataFrame(rows, "feature string, coefficient double")
+    out = t.spark.createDataFrame(rows, "feature string, coefficient double")
+    digits = F.when(F.col("feature") == "intercept", F.round("coefficient", 2)).otherwise(F.round("coefficient", 4))
+    return out.withColumn("coefficient", digits + 0.0)
+
+
+def _linear_panel(t) -> DataFrame:
+    return f.recursive_forecast(_panel(t), HOLDOUT, _linear(t, KEYS), "revenue", KEYS)
 
 
-@query("F05_linear_recursive")
+@query("F05_linear_recursive", f"{sql.rollout_text(HOLDOUT)} select series, date, round(predicted, 0) as predicted, 'model' as status from rolled")
 def f05(t):
     """One pooled model, every segment series rolled out on its own."""
-    return f.recursive_forecast(_panel(t), HOLDOUT, _linear(t, KEYS), "revenue", KEYS)
+    return rounded(_linear_panel(t), {"predicted": 0})
+
 
+_NAIVES = ["seasonal_week_lag7", "seasonal_year_lag365"]
+_LINEAR = "linear_recursive_lagged"
 
-@query("F12_equal_weight_ensemble")
+
+@query(
+    "F12_equal_weight_ensemble",
+    f"""{sql.rollout_text(HOLDOUT)}, week as ({_naive_sql('v_dense', 'b.series, ', '', 7, 'revenue', HOLDOUT)}),
+        year as ({_naive_sql('v_dense', 'b.series, ', '', 365, 'revenue', HOLDOUT)})
+        select series, date, week.predicted as seasonal_week_lag7, year.predicted as seasonal_year_lag365,
+            round(r.predicted, 0) as linear_recursive_lagged,
+            round((week.predicted + year.predicted + r.predicted) / 3e0, 0) as ensemble_equal_weight
+        from rolled r join week using (series, date) join year using (series, date)""",
+)
 def f12(t):
     panel = _panel(t)
-    names = ["seasonal_week_lag7", "seasonal_year_lag365", "linear_recursive_lagged"]
-    wide = f.align(
-        {
-            names[0]: f.seasonal_naive(panel, HOLDOUT, 7, "revenue", KEYS),
-            names[1]: f.seasonal_naive(panel, HOLDOUT, 365, "revenue", KEYS),
-            names[2]: f05(t),
-        },
-        KEYS,
-    )
-    return wide.withColumn("ensemble_equal_weight", f.equal_weight(names))
+    parts = {n: f.seasonal_naive(panel, HOLDOUT, s, "revenue", KEYS) for n, s in zip(_NAIVES, (7, 365))}
+    wide = f.align({**parts, _LINEAR: _linear_panel(t)}, KEYS)
+    wide = wide.withColumn("ensemble_equal_weight", f.equal_weight([*_NAIVES, _LINEAR]))
+    return rounded(wide, {_LINEAR: 0, "ensemble_equal_weight": 0})
 
 
 def _linear_backtest(t) -> DataFrame:
     """Weekly, yearly, linear and ensemble predictions of the three folds."""
     daily = _daily(t)
-    fit = lambda rows: f.linear_scorer(f.fit_linear(rows, e.BASELINE_FEATURES, "revenue"), e.BASELINE_FEATURES)
-    scorers = _by_fold(fitted_all(t, _fold_fits(t, "linear", _linear_rows(t), fit)), "linear")
+    scorers = {fold: scorer for fold, scorer in _linear_models(t).items() if fold <= f.N_FOLDS}
     train = f.training_rows(daily)
     parts = {name: f.seasonal_naive(train, f.HORIZON, s, "revenue", ["fold_id"]) for name, s in b.NAIVE_SEASONS.items()}
-    parts["linear_recursive_lagged"] = f.recursive_forecast_by_fold(train, f.HORIZON, scorers)
+    parts[_LINEAR] = f.recursive_forecast_by_fold(train, f.HORIZON, scorers)
     wide = once(t, "linear_folds", lambda: f.align(parts, ["fold_id"]))
     wide = wide.withColumn("ensemble_equal_weight", f.equal_weight(list(parts)))
     lines = F.array(
@@ -203,16 +229,36 @@ def _linear_backtest(t) -> DataFrame:
     return wide.select("fold_id", "date", F.inline(lines)).join(actual, ["fold_id", "date"])
 
 
-@query("B01_model_backtest")
+_FOLD_PREDICTIONS = f"""{sql.backtest_text()}, {_backtest('v_daily', '').replace('predictions as', 'naive as')},
+    linear as (select cast(fold as integer) as fold_id, date, 'linear_recursive_lagged' as model, revenue as actual, predicted
+        from rolled join v_daily using (date)),
+    three as (select * from naive union all select * from linear),
+    predictions as (select * from three union all
+        select fold_id, date, 'ensemble_equal_weight' as model, any_value(actual) as actual, sum(predicted) / 3e0 as predicted
+        from three group by fold_id, date)"""
+
+
+@query("B01_model_backtest", f"{_FOLD_PREDICTIONS} select * replace (round(predicted, 0) as predicted) from predictions")
 def b01_models(t):
-    return _linear_backtest(t)
+    return rounded(_linear_backtest(t), {"predicted": 0})
 
 
-@query("B04_model_comparison")
-def b04_models(t):
+def _linear_summary(t) -> DataFrame:
     return b.model_summary(b.metrics(_linear_backtest(t), ["fold_id", "model"]))
 
 
+_COARSE = {"mae": 1, "rmse": 1, "r2": 6}
+
+
+@query(
+    "B04_model_comparison",
+    f"""{_FOLD_PREDICTIONS}, m as ({_metrics_sql('fold_id, model')}), {_RANKED}
+        select * replace (round(mae, 1) as mae, round(rmse, 1) as rmse, round(r2, 6) as r2) from summary""",
+)
+def b04_models(t):
+    return rounded(_linear_summary(t), _COARSE)
+
+
 # Boosted trees ---------------------------------------------------------------------------------
 
 
@@ -250,7 +296,7 @@ def f13(t):
 @query("F13_baseline_final")
 def f13_baseline(t):
     """The four baseline candidates over the template, with the one the backtest ranks first."""
-    best = decided(t, "baseline_best", lambda: b.best_model(b04_models(t)).first()["model"])
+    best = decided(t, "baseline_best", lambda: b.best_model(_linear_summary(t)).first()["model"])
     daily, days = _daily(t), t.horizon_days
     parts = {name: f.seasonal_naive(daily, days, s) for name, s in b.NAIVE_SEASONS.items()}
     parts["linear_recursive_lagged"] = f.recursive_forecast(daily, days, _linear(t))
@@ -281,7 +327,7 @@ _SIGN_SQL = """select '{0}' as forecast, cast({1} as bigint) as rows, cast(0 as
 def f07_checks(t):
     """Fitted forecasts: a row for every day and series, none negative, none without a finite value."""
     dual = f11(t)
-    every = [("linear_by_segment", f05(t), "predicted"), ("tuned", f13(t), "forecast_selected"),
+    every = [("linear_by_segment", _linear_panel(t), "predicted"), ("tuned", f13(t), "forecast_selected"),
              ("baseline", f13_baseline(t), "forecast_selected"), ("dual_revenue", dual, "revenue_final"),
              ("dual_cogs", dual, "cogs_final")]
 

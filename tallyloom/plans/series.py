@@ -630,11 +630,11 @@ def b03(t):
     return rounded(b.metrics(b.naive_backtest(daily_sales(t)), ["fold_id", "model"]), _METRIC_DIGITS)
 
 
-_SUMMARY = f"""{_TOTAL_BACKTEST}, m as ({_metrics_sql('fold_id, model')}),
-    means as (select model, avg(mae) as mae, avg(rmse) as rmse, avg(r2) as r2 from m group by 1),
+_RANKED = """means as (select model, avg(mae) as mae, avg(rmse) as rmse, avg(r2) as r2 from m group by 1),
     ranked as (select *, cast(dense_rank() over (order by rmse) as integer) as rank_rmse,
     cast(dense_rank() over (order by mae) as integer) as rank_mae, cast(dense_rank() over (order by r2 desc nulls last) as integer) as rank_r2 from means),
     summary as (select *, (rank_rmse + rank_mae + rank_r2) / 3e0 as composite_rank from ranked)"""
+_SUMMARY = f"""{_TOTAL_BACKTEST}, m as ({_metrics_sql('fold_id, model')}), {_RANKED}"""
 
 
 @query("B04_model_summary", f"with {_SUMMARY} select * replace ({_ROUND_METRICS}) from summary")
