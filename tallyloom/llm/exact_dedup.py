@@ -186,10 +186,11 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     )
     if repeated.isEmpty():
         return single
-    order = [F.col(c).asc_nulls_last() for c in docs.columns]
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    order = [c.asc_nulls_last() for c in names]
     first = F.row_number().over(W.partitionBy("__dup_id", "__dup_sha").orderBy(*order))
     again = docs.join(repeated, match).withColumn("__dup_first", first).filter("__dup_first = 1")
-    return single.unionByName(again.select(*docs.columns))
+    return single.unionByName(again.select(*names))
 
 
 def op1(spark: SparkSession, directory: str) -> DataFrame:

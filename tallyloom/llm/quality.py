@@ -200,9 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column, max_rows: int =
     portion = min(1.0, max_rows / found["n"])
     drawn = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 30)) < int(portion * (1 << 30))
     sample = F.broadcast(rated.filter(drawn))
-    rows = docs.join(sample, docs["doc_id"] == F.col("_id")).select(
-        "_id", "_label", F.col("n_chars").cast("bigint").alias("_chars"), binary_text().alias("_text")
-    )
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("n_chars").cast("bigint").alias("_chars"), binary_text().alias("_text"))
+    rows = texts.join(sample, "_id").select("_id", "_label", "_chars", "_text")
     fitted = rows.repartition(1).mapInArrow(_fit_task, "model binary").collect()
     return bytes(fitted[0]["model"]) if fitted else float(found["share"])
 

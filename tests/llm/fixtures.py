@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 SCHEMA = (
     "doc_id bigint, text string, lang string, source string, n_chars bigint, "
     # Names that operators use inside.
-    "fp string, size int, rank int, score string, `group` int, node string, n int, hash string, target int"
+    "_id string, _label int, `a.b` int, fp string, size int, rank int, score string, `group` int, node string, n int, hash string, target int"
 )
-EXTRA = ("x", 1, 2, "s", 3, "nd", 4, "h", 5)
+EXTRA = ("i", 1, 2, "x", 1, 2, "s", 3, "nd", 4, "h", 5)
 SYLLABLES = "the ing an er or re st th ou ea in on ti ha nd es is".split()
 
 
