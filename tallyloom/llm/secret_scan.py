@@ -106,25 +106,40 @@ def has_random_parts(run: str, encoding, fewest: float = FEWEST_CHARS_PER_TOKEN)
     return sum(len(p) for p in parts if not is_readable(p, encoding, fewest)) >= MIN_RUN
 
 
-def random_runs(text: str, encoding, fewest: float = FEWEST_CHARS_PER_TOKEN) -> list[tuple[int, int, str]]:
-    """Runs of letters and digits with few characters per token."""
+def _outside(start: int, end: int, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """What sorted spans leave of a stretch."""
+    for a, b, _ in spans:
+        if b > start and a < end:
+            if a > start:
+                yield start, a
+            start = b
+    if start < end:
+        yield start, end
+
+
+def random_runs(
+    text: str, encoding, fewest: float = FEWEST_CHARS_PER_TOKEN, known: list[tuple[int, int, str]] = ()
+) -> list[tuple[int, int, str]]:
+    """Runs of letters and digits with few characters per token; the spans in ``known`` are cut out of them."""
     if max(map(len, text.split()), default=0) < MIN_RUN:
         return []
     found = []
-    for m in _RUN.finditer(text):
-        run = m[0]
+    known = sorted(known)
+    for a, b in (piece for m in _RUN.finditer(text) for piece in _outside(m.start(), m.end(), known)):
+        run = text[a:b]
+        if len(run) < MIN_RUN:
+            continue
         mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
         whole = mixed and not is_public_form(run) and len(run) <= fewest * len(encoding.encode_ordinary(run))
         if whole or has_random_parts(run, encoding, fewest):
-            found.append((m.start(), m.end(), "random"))
+            found.append((a, b, "random"))
     return found
 
 
 def spans_of(text: str, encoding, fewest: float = FEWEST_CHARS_PER_TOKEN) -> list[tuple[int, int, str]]:
-    """All spans by start, then kind; a random run inside a known form is not told again."""
+    """All spans by start, then kind; what lies in a known form is not told again, what lies beside it is."""
     base = known_forms(text)
-    added = [s for s in random_runs(text, encoding, fewest) if not any(a < s[1] and s[0] < b for a, b, _ in base)]
-    return sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
+    return sorted(base + random_runs(text, encoding, fewest, base), key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 _SPANS = "array<struct<start:bigint,end:bigint,kind:string>>"

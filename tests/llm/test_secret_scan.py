@@ -67,3 +67,51 @@ def test_random_strings_of_every_class():
         "/blobs/D41D8CD98F00B204E9800998ECF8427E", "internationalization2024", "a/b/c/d/e/f/g/h/i/j/k/l/m/n/o/p", "=" * 60,
     ):
         assert not S.has_random_parts(public, encoding), public
+
+
+def test_random_strings_beside_known_forms():
+    """Runs that a known form is part of: what is left of them is tested on its own."""
+    encoding, rng = S.vocabulary(S.default_ranks()), random.Random(3)
+    letters = string.ascii_letters + string.digits
+    for _ in range(200):
+        own = "".join(rng.choice(letters) for _ in range(40))
+        spans = S.spans_of(f"see {own}_token=abcdefgh and", encoding)
+        assert [s[2] for s in spans] == ["random", "assign"] and spans[0][:2] in {(4, 44), (4, 45)}
+        assert [s[2] for s in S.spans_of(f"{own}+{'0123456789abcdef' * 2}+{own[::-1]}", encoding)] == ["random", "hex", "random"]
+    assert [s[2] for s in S.spans_of("service_config_" + "0123456789abcdef" * 2, encoding)] == ["hex"]
+
+
+def loop_random(text, encoding):
+    """The token test by position: every stretch of run characters, less the known forms, in plain words."""
+    allowed = set(string.ascii_letters + string.digits + "+/_=-")
+    covered = {i for a, b, _ in S.known_forms(text) for i in range(a, b)}
+    usable = [c in allowed for c in text]
+    spans, start = [], None
+    for i in range(len(text) + 1):
+        inside = i < len(text) and usable[i] and i not in covered
+        if inside and start is None:
+            start = i
+        elif not inside and start is not None:
+            spans.append((start, i))
+            start = None
+
+    def whole(run):
+        mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+        return mixed and not S.is_public_form(run) and len(run) / len(encoding.encode_ordinary(run)) <= S.FEWEST_CHARS_PER_TOKEN
+
+    return [(a, b, "random") for a, b in spans if b - a >= S.MIN_RUN and (whole(text[a:b]) or S.has_random_parts(text[a:b], encoding))]
+
+
+def test_random_spans_against_loops(spark):
+    from tallyloom.llm.common import table
+
+    encoding, rng = S.vocabulary(S.default_ranks()), random.Random(8)
+    pieces = ["token=", "abcdefgh", "_", "-", "AKIA", "ABCDEFGHIJKLMNOP", " ", "0123456789abcdef", "secret:", "config", "/", "é", "."]
+    texts = ["".join(rng.choice([*pieces, "".join(rng.choices(string.ascii_letters + string.digits, k=18))]) for _ in range(12)) for _ in range(400)]
+    texts += [r["text"] or "" for r in table(spark, "/root/testdata/sf0.001", "documents").collect()]
+    hits = 0
+    for text in texts:
+        got = [s for s in S.spans_of(text, encoding) if s[2] == "random"]
+        assert got == loop_random(text, encoding), text
+        hits += len(got)
+    assert hits > 100
