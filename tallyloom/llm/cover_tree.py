@@ -319,7 +319,7 @@ def link_embeddings(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     ship_package(spark)
     all_rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("_vector"))
     odd = F.exists("_vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    sound = F.coalesce(F.col("vec_id").isNotNull() & ~odd & F.exists("_vector", lambda x: x != 0), F.lit(False))
+    sound = F.coalesce(~odd & F.exists("_vector", lambda x: x != 0), F.lit(False))
     units = all_rows.filter(sound).mapInArrow(_units, "vec_id bigint, dim int, node string, unit binary")
     units = store(units, "units")
     classes = units.groupBy("node").agg(

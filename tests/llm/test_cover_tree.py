@@ -11,14 +11,14 @@ def brute(rows):
 
     n = len(rows)
     near = np.zeros((n, n), dtype=bool)
-    for i, (a_id, a) in enumerate(rows):
-        for j, (b_id, b) in enumerate(rows):
-            if i != j and None not in (a_id, b_id) and sound(a) and sound(b) and len(a) == len(b):
+    for i, (_, a) in enumerate(rows):
+        for j, (_, b) in enumerate(rows):
+            if i != j and sound(a) and sound(b) and len(a) == len(b):
                 x, y = np.array(a), np.array(b)
                 near[i, j] = x @ y / math.sqrt((x @ x) * (y @ y)) >= 0.9
     root = [r[0] for r in rows]
     while True:
-        new = [min([root[i], *(root[j] for j in np.flatnonzero(near[i]))]) if near[i].any() else root[i] for i in range(n)]
+        new = [min((x for x in (root[i], *(root[j] for j in np.flatnonzero(near[i]))) if x is not None), default=None) for i in range(n)]
         if new == root:
             break
         root = new
@@ -34,7 +34,7 @@ def awkward():
     rows += [(300 + i, base.tolist()) for i in range(30)]  # one very common vector
     rows += [(400, (2 * base).tolist()), (401, (-base).tolist()), (402, rng.normal(size=5).tolist())]
     rows += [(403, None), (404, []), (405, [0.0] * 8), (406, [1.0, None] * 4), (407, [float("nan")] * 8)]
-    rows += [(408, [float("inf")] + [0.0] * 7), (None, base.tolist()), (409, [1e-30] * 8), (410, [1e30] * 8)]
+    rows += [(408, [float("inf")] + [0.0] * 7), (None, base.tolist()), (None, rng.normal(size=3).tolist()), (None, [0.0]), (409, [1e-30] * 8), (410, [1e30] * 8)]
     return [*rows, rows[3], rows[3]]
 
 
