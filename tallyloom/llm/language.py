@@ -17,7 +17,10 @@ rows.
 from __future__ import annotations
 
 import pickle
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +37,33 @@ FLOOR, OTHER_SCRIPT, SWITCH = 8.0, 30.0, 12.0
 RUN = 64
 UNKNOWN = "und"
 
-# First code points of letter ranges and their script; 0 is no letter.
-_SCRIPTS = [
-    (0x0000, 0), (0x0041, 1), (0x005B, 0), (0x0061, 1), (0x007B, 0), (0x00AA, 1), (0x00AB, 0), (0x00B5, 1),
-    (0x00B6, 0), (0x00BA, 1), (0x00BB, 0), (0x00C0, 1), (0x00D7, 0), (0x00D8, 1), (0x00F7, 0), (0x00F8, 1),
-    (0x0370, 2), (0x0400, 3), (0x0530, 4), (0x0590, 5), (0x0600, 6), (0x0700, 7), (0x0900, 8), (0x0980, 9),
-    (0x0E00, 10), (0x0E80, 11), (0x10A0, 12), (0x1100, 13), (0x1200, 14), (0x1E00, 1), (0x1F00, 2),
-    (0x2000, 0), (0x3040, 15), (0x3100, 16), (0x3130, 13), (0x3190, 0), (0x3400, 16), (0xA000, 17),
-    (0xAC00, 13), (0xD7B0, 0), (0xF900, 16), (0xFB00, 1), (0xFB07, 0), (0xFF66, 15), (0xFFA0, 0),
-    (0x20000, 16), (0x32000, 0),
-]
-_STARTS = np.array([a for a, _ in _SCRIPTS])
-_CODES = np.array([b for _, b in _SCRIPTS], dtype=np.int64)
+#: Scripts with a number of their own; letters of all further scripts share one.
+OWN_SCRIPTS = 60
+#: Two syllabaries that one language mixes.
+_ONE_SCRIPT = {"HIRAGANA": "KANA", "KATAKANA": "KANA", "BOPOMOFO": "CJK"}
+
+
+@cache
+def _script_table() -> np.ndarray:
+    """Script of each code point that is a letter, minus the script of each mark that may follow one, else 0.
+
+    The script is the word of the character's name that names most letters: FULLWIDTH LATIN SMALL LETTER A
+    is Latin. The commonest scripts of the basic plane come first, in order of their letters.
+    """
+    names = {c: unicodedata.name(chr(c), "").split() for c in range(0x110000) if unicodedata.category(chr(c))[0] in "LM"}
+    letters = Counter(w[0] for c, w in names.items() if w and c < 0x10000 and unicodedata.category(chr(c))[0] == "L")
+    numbers: dict[str, int] = {}
+    for script, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0])):
+        script = _ONE_SCRIPT.get(script, script)
+        numbers.setdefault(script, min(len(numbers) + 1, OWN_SCRIPTS + 1))
+    table = np.zeros(0x110000, dtype=np.int8)
+    for c, words in names.items():
+        script = max(words[:3], key=lambda w: letters[w], default="")
+        number = numbers.get(_ONE_SCRIPT.get(script, script), OWN_SCRIPTS + 1)
+        table[c] = number if unicodedata.category(chr(c))[0] == "L" else -number
+    return table
+
+
 _POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
 
@@ -58,7 +76,8 @@ class Words:
         script = np.zeros(len(data), dtype=np.int64)
         upper = (data >= 65) & (data <= 90)
         data[upper] += 32
-        script[(data >= 97) & (data <= 122)] = 1
+        codes = _script_table()
+        script[(data >= 97) & (data <= 122)] = codes[97]
         wide = np.flatnonzero(data >= 0xC0)
         if len(wide):
             after = [data[np.minimum(wide + k, len(data) - 1)] & 0x3F for k in (1, 2, 3)]
@@ -68,13 +87,20 @@ class Words:
                 [(head & 0x1F) << 6 | after[0], (head & 0x0F) << 12 | after[0] << 6 | after[1]],
                 (head & 0x07) << 18 | after[0] << 12 | after[1] << 6 | after[2],
             )
-            script[wide] = _CODES[np.searchsorted(_STARTS, point, "right") - 1]
+            script[wide] = codes[np.minimum(point, 0x10FFFF)]
             latin_upper = (point >= 0xC0) & (point <= 0xDE) & (point != 0xD7)
             data[wide[latin_upper] + 1] += 0x20
             # The bytes that follow belong to the letter.
             owner = np.maximum.accumulate(np.where(lead, np.arange(len(data)), 0))
             script = script[owner]
         letter = script > 0
+        if (script < 0).any():  # marks belong to the word of a letter beside them, and are no word alone
+            part = script != 0
+            begins = np.flatnonzero(np.diff(part.astype(np.int8), prepend=0))
+            holds = np.add.reduceat(letter, begins) > 0
+            lengths = np.diff(np.append(begins, len(part)))  # the text begins with a space, which is no part
+            letter = part & np.append(np.zeros(begins[0], dtype=bool), np.repeat(holds, lengths))
+            script = np.abs(script)
         edge = np.diff(letter.astype(np.int8), prepend=0)
         self.start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.stop = stop
@@ -107,7 +133,7 @@ def learn(rows: list[tuple[str, bytes]]) -> dict | None:
             continue
         triples.append(np.bincount(w.triple, minlength=1 << TRIPLE_BITS).astype(float))
         words.append(np.bincount(w.word, minlength=1 << WORD_BITS).astype(float))
-        used = [np.mean(w.scripts >> k & 1) for k in range(18)]
+        used = [np.mean(w.scripts >> k & 1) for k in range(OWN_SCRIPTS + 2)]
         scripts.append(sum(1 << k for k, share in enumerate(used) if share >= 0.001))
     if not names:
         return None

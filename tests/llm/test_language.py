@@ -1,3 +1,5 @@
+import unicodedata
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -39,6 +41,19 @@ def test_spans_scripts_and_texts_without_letters():
     assert L.label_texts(None, [b"words"]) == [("und", 0.0, [])]
 
 
+def test_every_letter_is_one_and_nothing_else():
+    model = L.learn([("en", b"the thing and that was of the king " * 30)])
+    letters = ["ⵜⵉⴼⵉ", "ⲁⲃⲅ", "ｗｏｒｄ", "\ufb50\ufe8d", "\ufb2a", "𐌰𐌱𐌲", "𝐀𝐁", "ªº", "ʰ", "हिन्दी", "e\u0301", "\u0301a", "ꦲ", "〆", "\U00030000"]
+    nothing_to_read = ["٠١٢", "๐๑", "\u0301", "\u0301 \u093f", "˘˙", "①②", "⅔ ½", "€ § 12", "\u200d", "😀", "ⅳ"]
+    for text in letters:
+        assert any(unicodedata.category(c)[0] == "L" for c in text)
+        assert L.label_texts(model, [text.encode()])[0][:2] == ("en", 1.0), text
+    for text in nothing_to_read:
+        assert not any(unicodedata.category(c)[0] == "L" for c in text)
+        assert L.label_texts(model, [text.encode()]) == [("und", 0.0, [])], text
+    assert L.label_texts(model, ["हिन्दी भाषा".encode()])[0][2] == [{"start": 0, "end": 11, "lang": "en"}]
+
+
 def test_held_out_accuracy(spark):
     docs = table(spark, "/root/testdata/sf0.1", "documents")
     found = L.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter(~L.trainable())
