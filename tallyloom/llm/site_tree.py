@@ -20,8 +20,8 @@ in class or id) are worth ``NOISE`` of their entropy, an article at least ``ARTI
 article, parts outside it are noise; where it does not, lists and blocks of links only are. Entropy decides
 about everything that is not marked.
 
-The tree of a page is named by a digest, and branches are judged once per host and shape of page; pages and
-shapes meet in a join with a salt, which adaptive execution may broadcast if the shapes measure small.
+Branches are judged once per host and shape of page. The decisions are measured: up to ``BROADCAST`` bytes
+they travel to the pages, beyond that both meet in a join with a salt.
 
 Defined results: null, empty and broken html gives what text there is, by the rules of open and implied
 end tags; a tag cut off by the end of the page is no text. Text inside scripts, styles and the head is
@@ -53,6 +53,8 @@ NOISE, ARTICLE = 0.25, 0.75
 DECAY = 0.9
 #: Parts that the decisions on one shape are dealt to, so that a common shape is not one task.
 SALTS = 32
+#: Bytes up to which the decisions are sent to all executors, and bytes of a row beside one for each element.
+BROADCAST, ROW_COST = 16 << 20, 100
 
 # Elements by what they do to text.
 _VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
@@ -287,14 +289,17 @@ class Page:
         return node, style
 
 
-def importances(parent: np.ndarray, own: np.ndarray, styles: np.ndarray, text: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    """Which elements of a page are kept.
+def importances(
+    parent: np.ndarray, own: np.ndarray, styles: np.ndarray, text: np.ndarray, mark: np.ndarray, times: np.ndarray | None = None
+) -> np.ndarray:
+    """Which elements of a page are kept; each may stand for several that agree.
 
     ``own`` is the presentation importance of each element, ``styles`` how many styles it has on the host,
     ``text`` its content importance (nan: no text). ``mark`` is 1 for an article, -1 for noise, else 0.
     Parents come before their children.
     """
     n = len(parent)
+    times = np.ones(n) if times is None else times
     total, count = np.zeros(n), np.zeros(n)
     whole, best = np.zeros(n), np.zeros(n)
     for k in range(n - 1, -1, -1):
@@ -313,8 +318,8 @@ def importances(parent: np.ndarray, own: np.ndarray, styles: np.ndarray, text: n
         best[k] = max(best[k], value) if mark[k] >= 0 else value
         if k and (count[k] or not np.isnan(text[k])):
             up = parent[k]
-            total[up] += value
-            count[up] += 1
+            total[up] += value * times[k]
+            count[up] += times[k]
             best[up] = max(best[up], best[k])
     keep, article = np.ones(n, dtype=bool), mark > 0
     for k in range(1, n):
@@ -327,7 +332,7 @@ def importances(parent: np.ndarray, own: np.ndarray, styles: np.ndarray, text: n
 # Spark -----------------------------------------------------------------------------------------
 
 _TEXT = pa.struct([("at", pa.int32()), ("text", pa.string()), ("feature", pa.int64()), ("first", pa.bool_())])
-_NODE = pa.struct([("node", pa.int64()), ("style", pa.int64()), ("parent", pa.int32()), ("mark", pa.int8()), ("holds", pa.bool_())])
+_NODE = pa.struct([("node", pa.int64()), ("style", pa.int64()), ("parent", pa.int32()), ("mark", pa.int8()), ("holds", pa.bool_()), ("times", pa.int32())])
 _PARSED = pa.schema(
     [
         ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("shape", pa.int64()),
@@ -336,7 +341,7 @@ _PARSED = pa.schema(
 )
 PARSED = (
     "page_id bigint, url string, host string, shape bigint, "
-    "nodes array<struct<node:bigint,style:bigint,parent:int,mark:tinyint,holds:boolean>>, "
+    "nodes array<struct<node:bigint,style:bigint,parent:int,mark:tinyint,holds:boolean,times:int>>, "
     "texts array<struct<at:int,text:string,feature:bigint,first:boolean>>"
 )
 _HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", re.I)
@@ -355,15 +360,29 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = Page(source.decode("utf-8", "replace"))
             node, style = page.nodes()
             marks = [_MARKS[m] for m in page.mark]
-            texts, shown, holds = [], set(), [False] * len(node)
+            holds = [False] * len(node)
+            for k, _, _ in page.texts:
+                holds[k] = not page.beside[k]
+            # Elements that agree in all that is judged are one slot, so that long and short articles have one shape.
+            slots: dict[tuple, int] = {}
+            slot, times = [], []
+            for k, key in enumerate(zip(node, style, marks, holds)):
+                at = slots.setdefault((slot[page.parent[k]] if k else -1, *key), len(slots))
+                slot.append(at)
+                if at == len(times):
+                    times.append(0)
+                times[at] += 1
+            texts, shown = [], set()
             for k, text, _ in page.texts:
-                if not page.beside[k]:
+                if holds[k]:
                     feature = _number(_DIGITS.sub("0", text))
-                    texts.append({"at": k, "text": text, "feature": feature, "first": (node[k], feature) not in shown})
+                    texts.append({"at": slot[k], "text": text, "feature": feature, "first": (node[k], feature) not in shown})
                     shown.add((node[k], feature))
-                    holds[k] = True
-            nodes = [dict(zip(("node", "style", "parent", "mark", "holds"), r)) for r in zip(node, style, page.parent, marks, holds)]
-            shape = _number(*node, *marks, *holds)
+            nodes = [
+                {"parent": parent, "node": n, "style": st, "mark": m, "holds": h, "times": t}
+                for (parent, n, st, m, h), t in zip(slots, times)
+            ]
+            shape = _number(*slots, *times)
             rows.append((page_id, url, host_of(url), shape, nodes, texts))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PARSED)], schema=_PARSED)
 
@@ -375,7 +394,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes.sort(key=lambda r: r["at"])
             column = lambda name: np.array([r[name] for r in nodes], dtype=float)  # noqa: B023, E731
             parent = column("parent").astype(np.int64)
-            kept.append(importances(parent, column("own"), column("styles"), column("content"), column("mark")).tolist())
+            kept.append(importances(parent, column("own"), column("styles"), column("content"), column("mark"), column("times")).tolist())
         yield pa.RecordBatch.from_arrays(
             [batch.column("host"), batch.column("shape"), pa.array(kept, pa.list_(pa.bool_()))], ["host", "shape", "keep"]
         )
@@ -390,7 +409,7 @@ def _entropy(n: str, weighted: str) -> F.Column:
 def style_tree(parsed: DataFrame) -> DataFrame:
     """(host, node, own, styles, content): the importances of the element nodes of every host."""
     seen = parsed.select("host", F.explode("nodes").alias("e"))
-    styles = seen.groupBy("host", F.col("e.node").alias("node"), F.col("e.style").alias("style")).agg(F.count(F.lit(1)).alias("n"))
+    styles = seen.groupBy("host", F.col("e.node").alias("node"), F.col("e.style").alias("style")).agg(F.sum("e.times").alias("n"))
     styles = styles.withColumn("w", F.col("n") * F.log("n"))
     elements = styles.groupBy("host", "node").agg(
         F.sum("n").alias("m"), F.count(F.lit(1)).alias("styles"), _entropy("n", "w").alias("h")
@@ -410,7 +429,7 @@ def style_tree(parsed: DataFrame) -> DataFrame:
     return both.select("host", "node", own.alias("own"), "styles", F.when(F.col("mean").isNotNull(), shared).alias("content"))
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
     """page_id, url and the main text of every page."""
     ship_package(pages.sparkSession)
     source = pages.select(
@@ -422,16 +441,20 @@ def extract(pages: DataFrame) -> DataFrame:
     shapes = parsed.groupBy("host", "shape").agg(F.any_value("nodes").alias("nodes"))
     elements = shapes.select("host", "shape", F.posexplode("nodes").alias("at", "e"))
     judged = (
-        elements.select("host", "shape", "at", "e.node", "e.parent", "e.mark", "e.holds")
+        elements.select("host", "shape", "at", "e.node", "e.parent", "e.mark", "e.holds", "e.times")
         .join(style_tree(parsed), ["host", "node"])
         .withColumn("content", F.when(F.col("holds"), F.col("content")))
         .groupBy("host", "shape")
-        .agg(F.collect_list(F.struct("at", "parent", "own", "styles", "content", "mark")).alias("nodes"))
+        .agg(F.collect_list(F.struct("at", "parent", "own", "styles", "content", "mark", "times")).alias("nodes"))
         .mapInArrow(_judge, "host string, shape bigint, keep array<boolean>")
     )
-    dealt = judged.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = parsed.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(dealt, ["host", "shape", "_salt"])
+    judged = store(judged, "judged")
+    if (judged.agg(F.sum(F.size("keep") + ROW_COST)).first()[0] or 0) <= broadcast:
+        joined = parsed.join(F.broadcast(judged), ["host", "shape"])
+    else:
+        dealt = judged.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = parsed.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(dealt, ["host", "shape", "_salt"])
     kept = F.filter("texts", lambda t: F.element_at("keep", t["at"] + 1))
     return joined.select("page_id", "url", F.array_join(F.transform(kept, lambda t: t["text"]), " ").alias("text"))
 

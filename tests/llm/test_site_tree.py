@@ -120,6 +120,8 @@ def test_awkward_pages(spark):
     assert got[8] == "deep" and got[9] == "" and got[10] == "\u0000 ퟿"
     df = spark.createDataFrame([(*p, *EXTRA) for p in pages], SCHEMA)
     assert T.extract(df).count() == len(pages)
+    joined = {r["page_id"]: r["text"] for r in T.extract(df, broadcast=0).collect()}
+    assert joined == got
     assert T.extract(df.limit(0)).collect() == []
 
 
