@@ -11,14 +11,10 @@ which the tiles are dealt by, the first two within ``second``, and all words tog
 ``SIMILAR`` links by such an estimate alone: half of the pairs at a similarity of 0.74, 96 of 100 at 0.8,
 and one in a thousand at 0.62.
 
-The stage that drops near copies decides by the Jaccard similarity itself: shared over all different
-shingles of five words, at least ``SHARED``. There fingerprints of the sets, with the wide limits of
-``CANDIDATES``, only say which pairs to look at, and a join brings the two sets of each pair together
-(as hashes of 64 bits). Pairs are looked at in two steps, so that a group of near copies does not cost all
-its pairs: first every set with its nearest one before it, then the pairs that the first step left apart.
+The stage that drops near copies links as the query does: ``STRICT``, three words and at most three bits.
 
-Equal fingerprints (in the stage: equal sets) are one node from the start, so a group of copies of any
-size is one row in the comparison; where fingerprints decide, linked nodes leave a task as stars.
+Equal fingerprints are one node from the start, so a group of copies of any size is one row in the
+comparison, and linked nodes leave a task as stars.
 
 Defined results: null text counts as empty; a text without words has fingerprint 0 and is linked
 like any other. Rows that repeat an id are returned as often as they occur. Null ids do not count for
@@ -65,12 +61,6 @@ class Measure:
 
 STRICT = Measure()
 SIMILAR = Measure(width=5, words=8, radius=92, first=19)
-#: Pairs at 0.8 differ in 10 +- 3 bits of a word and 78 +- 8 of all (sets of four in five: 12 +- 3, 96 +- 9).
-CANDIDATES = Measure(width=5, words=8, radius=132, first=24, second=44)
-#: The least similarity of linked sets, as a fraction.
-SHARED = (4, 5)
-#: Candidate pairs that a task hands on at once.
-PAIRS = 1 << 16
 
 
 def shingle_hashes(text: bytes, width: int = 3, seed: int = SEED) -> bytes:
@@ -140,53 +130,17 @@ def _fingerprints(measure: Measure):
     return run
 
 
-def shingle_set(text: bytes, width: int) -> np.ndarray:
-    """The different hashes of the shingles, ascending."""
-    return np.unique(np.frombuffer(shingle_hashes(text, width), dtype=">u8").astype(np.uint64))
-
-
-def _set_names(measure: Measure):
-    """Like ``_fingerprints``, of sets; fp goes on with a digest of the set and its size, so it names the set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            sets = [shingle_set(t, measure.width).astype(">u8").tobytes() for t in batch.column("_text").to_pylist()]
-            bits = majority_bits(sets, measure.words).astype(">u8")
-            found = [
-                row.tobytes() + xxhash.xxh3_128_digest(s, SEED) + (len(s) // 8).to_bytes(8, "big") for row, s in zip(bits, sets)
-            ]
-            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(found, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    return run
-
-
-def _sets(width: int):
-    schema = pa.schema([("fp", pa.binary()), ("shingles", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            sets = [shingle_set(t, width).view(np.int64) for t in batch.column("_text").to_pylist()]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([batch.column("fp").cast(pa.binary()), shingles], schema=schema)
-
-    return run
-
-
 def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def fingerprints(docs: DataFrame, measure: Measure = STRICT, named: bool = False) -> DataFrame:
-    """doc_id, text_key (tells rows that share an id apart) and fp, big-endian bytes; ``named``: see ``_set_names``."""
+def fingerprints(docs: DataFrame, measure: Measure = STRICT) -> DataFrame:
+    """doc_id, text_key (tells rows that share an id apart) and fp, big-endian bytes."""
     ship_package(docs.sparkSession)
     source = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), binary_text().alias("_text")
     )
-    made = _set_names(measure) if named else _fingerprints(measure)
-    return source.mapInArrow(made, "doc_id bigint, text_key bigint, fp binary")
+    return source.mapInArrow(_fingerprints(measure), "doc_id bigint, text_key bigint, fp binary")
 
 
 def _sub_tiles(fps: np.ndarray):
@@ -284,66 +238,6 @@ def _compare(measure: Measure):
     return _per_tile_pair(found)
 
 
-def _set_candidates(measure: Measure):
-    """(names, fingerprints, pairs): pairs within the limits whose sizes allow the similarity."""
-    part, whole = SHARED
-
-    def pairs(side: np.ndarray, fps: np.ndarray):
-        names, first, second = _sides(side, fps, measure)
-        sizes = np.array([int.from_bytes(n[-8:], "big") for n in names], dtype=np.int64)
-        shift = 0 if second is None else len(first)
-
-        def run() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for x, y in _near(first, second, measure):
-                y = y + shift
-                fit = whole * np.minimum(sizes[x], sizes[y]) >= part * np.maximum(sizes[x], sizes[y])
-                yield x[fit], y[fit]
-
-        return names, first if second is None else np.concatenate((first, second)), run
-
-    return pairs
-
-
-def _nearest(measure: Measure):
-    """Of each set the nearest candidate among those before it, in each pair of tiles."""
-    candidates = _set_candidates(measure)
-
-    def found(side: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        names, rows, pairs = candidates(side, fps)
-        best = np.full(len(names), np.iinfo(np.int64).max)
-        for x, y in pairs():
-            if len(x):
-                differ = np.bitwise_count(rows[x] ^ rows[y]).sum(axis=1).astype(np.int64)
-                np.minimum.at(best, np.maximum(x, y), differ << 32 | np.minimum(x, y))
-        has = np.flatnonzero(best < np.iinfo(np.int64).max)
-        yield _edges(names, has, best[has] & 0xFFFFFFFF)
-
-    return _per_tile_pair(found)
-
-
-def _apart(measure: Measure):
-    """All candidates whose sets are not joined yet, by the further column of their roots."""
-    candidates = _set_candidates(measure)
-
-    def found(side: np.ndarray, fps: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
-        names, _, pairs = candidates(side, fps)
-        number: dict[bytes, int] = {}
-        label = np.array([number.setdefault(r, len(number)) for r in roots[np.argsort(side, kind="stable")]], dtype=np.int64)
-        left, right, held = [], [], 0
-        for x, y in pairs():
-            apart = label[x] != label[y]
-            left.append(x[apart])
-            right.append(y[apart])
-            held += len(left[-1])
-            if held >= PAIRS:
-                yield _edges(names, np.concatenate(left), np.concatenate(right))
-                left, right, held = [], [], 0
-        if held:
-            yield _edges(names, np.concatenate(left), np.concatenate(right))
-
-    return _per_tile_pair(found)
-
-
 def tile_pairs(distinct: DataFrame, measure: Measure = STRICT, tile: int = TILE) -> DataFrame:
     """Rows (lo, hi, side, fp): every fingerprint once for each pair of tiles that it takes part in.
 
@@ -417,45 +311,13 @@ def _grouped(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
-def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles are as similar as ``SHARED`` asks for."""
-    part, whole = SHARED
-    pairs = store(pairs, "near-candidates")
-    named = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    named = named.join(nodes, "fp").select(
-        F.col("fp").alias("__near_fp"), F.col("least.doc_id").alias("__near_id"), F.col("least.text_key").alias("__near_key")
-    )
-    match = docs["doc_id"].cast("bigint").eqNullSafe(F.col("__near_id")) & (text_key() == F.col("__near_key"))
-    texts = docs.join(named, match).select(F.col("__near_fp").alias("fp"), binary_text().alias("_text"))
-    sets = texts.mapInArrow(_sets(width), "fp binary, shingles array<bigint>").dropDuplicates(["fp"])
-    sets = store(sets, "near-sets")
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    enough = (part + whole) * shared >= part * (F.size("x") + F.size("y"))  # shared / all >= part / whole
-    return store(both.filter(enough).select("a", "b"), "near-links")
-
-
-def similar_groups(docs: DataFrame, measure: Measure = CANDIDATES, tile: int = TILE) -> DataFrame:
-    """As ``near_groups``, over links between sets of shingles with a Jaccard similarity of ``SHARED`` or more."""
-    rows, nodes = _nodes(fingerprints(docs, measure, named=True))
-    edges = "a binary, b binary"
-    nearest = _dealt(nodes.select("fp"), measure, tile).mapInArrow(_nearest(measure), edges)
-    links = _similar(docs, nodes, nearest, measure.width)
-    roots = components(links).withColumnRenamed("node", "fp")
-    labelled = store(nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "near-labels")
-    apart = _dealt(labelled, measure, tile).mapInArrow(_apart(measure), edges)
-    more = _similar(docs, nodes, apart, measure.width)
-    return _grouped(rows, nodes, components(links.unionByName(more)))
-
-
-def drop_near_duplicates(docs: DataFrame, measure: Measure = CANDIDATES) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group of ``similar_groups``, with all their columns.
+def drop_near_duplicates(docs: DataFrame, measure: Measure = STRICT) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group of ``near_groups``, with all their columns.
 
     The row with the smallest id stays. Of rows that repeat both id and text, the one whose other
     columns sort first stays.
     """
-    groups = store(similar_groups(docs, measure), "near-groups")
+    groups = store(near_groups(docs, measure), "near-groups")
     keys = [F.col("doc_id").alias("__near_id"), F.col("text_key").alias("__near_key")]
     match = docs["doc_id"].eqNullSafe(F.col("__near_id")) & (text_key() == F.col("__near_key"))
     single = docs.join(groups.filter("not kept").select(*keys).distinct(), match, "left_anti")
