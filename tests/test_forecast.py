@@ -206,6 +206,37 @@ def test_importance_finds_the_planted_feature(spark):
     assert {r.metric for r in x.holdout_summary(model, df, ["signal", "noise"], "y").collect()} == {"mae", "rmse", "r2"}
 
 
+def test_permutation_and_dependence_against_whole_scoring(boosted):
+    """Only some trees are walked again, and leaves are counted: the same as scoring every changed row whole."""
+    rows, model, scorer = boosted
+    names, repeats = list(e.EXTENDED_FEATURES), 2
+    held = rows.orderBy("date").limit(60)
+    pairs = x.shuffled_rows(held, names, "revenue", repeats, f.SEED).collect()
+    assert len(pairs) == 60 * repeats
+    got = {r.feature: r for r in x.permutation_importance(model, held, names, "revenue", repeats).collect()}
+    assert len(got) == len(names) and sum(r.perm_importance_mean == 0 for r in got.values()) > 3
+    for j, name in enumerate(names):
+        drops = []
+        for r in range(1, repeats + 1):
+            own = [p for p in pairs if p["_r"] == r]
+            x0, other, y = (np.array([p[c] for p in own]) for c in ("_x", "_other", "_y"))
+            assert sorted(x0[:, j]) == sorted(other[:, j])
+            changed = x0.copy()
+            changed[:, j] = other[:, j]
+            rmse = [math.sqrt(np.mean((y - scorer.predict_many(m)) ** 2)) for m in (x0, changed)]
+            drops.append(rmse[1] - rmse[0])
+        assert got[name].perm_importance_mean == pytest.approx(np.mean(drops), rel=1e-9, abs=1e-9)
+        assert got[name].perm_importance_std == pytest.approx(np.std(drops), rel=1e-9, abs=1e-9)
+    which = ["lag_1", "trend_idx", "roll_mean_7", "is_weekend"]
+    curve = x.partial_dependence(model, held, names, which).collect()
+    assert len(curve) == 9 * len(which)
+    whole = np.array([[float(r[n]) for n in names] for r in held.collect()])
+    for c in curve:
+        changed = whole.copy()
+        changed[:, names.index(c.feature)] = c.grid_value
+        assert c.avg_prediction == pytest.approx(scorer.predict_many(changed).mean(), rel=1e-9)
+
+
 def test_new_data_in_the_same_folder_is_fitted_again(spark, tmp_path):
     from types import SimpleNamespace
 
