@@ -6,6 +6,7 @@ Every check ends in a row ``(check_group, check_name, status, failures, details)
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -235,39 +236,69 @@ def orphan_keys(child: DataFrame, child_column: str, parent: DataFrame, parent_c
     return keys.join(parents, "_key", "left_anti")
 
 
+def _tagged(sides: Mapping[str, Column], tables: Mapping[str, DataFrame], extra: Mapping[str, Column] = {}) -> DataFrame:
+    """(_key, _side, ...) of all sides below each other; ``extra`` columns are those of the first side."""
+    parts = [
+        tables[name].select(key.alias("_key"), F.lit(name).alias("_side"), *([c.alias(n) for n, c in extra.items()] if i == 0 else []))
+        for i, (name, key) in enumerate(sides.items())
+    ]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
+def _rows_of(side: str) -> Column:
+    return F.count_if(F.col("_side") == side)
+
+
+def _parent_report(parent: str, column: str, keys: Sequence[ForeignKey], tables: Mapping[str, DataFrame]) -> DataFrame:
+    """All foreign keys into one parent: one row per key of any side, in one shuffle and without a join.
+
+    Rows are counted on the map side first, so a key that a third of all rows share is one row a task.
+    """
+    sides = {"parent": F.col(column)}
+    rows = {"parent": tables[parent]}
+    for i, fk in enumerate(keys):
+        child = tables[fk.child]
+        sides[f"c{i}"] = F.col(fk.child_column)
+        rows[f"c{i}"] = child if fk.required else child.filter(F.col(fk.child_column).isNotNull())
+    per_key = _tagged(sides, rows).groupBy("_key").agg(*[_rows_of(s).alias(s) for s in sides])
+    known = (F.col("parent") > 0) & F.col("_key").isNotNull()
+    zero = F.lit(0).cast("long")
+    totals = per_key.agg(
+        *[F.coalesce(F.sum(f"c{i}"), zero).alias(f"n{i}") for i in range(len(keys))],
+        *[F.coalesce(F.sum(F.when(~known, F.col(f"c{i}"))), zero).alias(f"bad{i}") for i in range(len(keys))],
+    )
+    lines = [
+        F.struct(
+            F.lit(fk.child).alias("child_table"), F.lit(fk.child_column).alias("child_column"),
+            F.lit(fk.parent).alias("parent_table"), F.lit(fk.parent_column).alias("parent_column"),
+            F.lit(fk.required).alias("required_fk"), F.col(f"n{i}").alias("checked_rows"),
+            F.col(f"bad{i}").alias("invalid_fk_count"), F.when(F.col(f"bad{i}") == 0, "PASS").otherwise("FAIL").alias("status"),
+        )
+        for i, fk in enumerate(keys)
+    ]
+    return totals.select(F.inline(F.array(*lines)))
+
+
 def foreign_key_check(fk: ForeignKey, child: DataFrame, parent: DataFrame) -> DataFrame:
     """Rows checked and rows whose key has no parent; an optional key may be null."""
-    rows = child if fk.required else child.filter(F.col(fk.child_column).isNotNull())
-    keys = rows.groupBy(F.col(fk.child_column).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
-    # Parents may repeat: one row each keeps the join from multiplying.
-    parents = parent.select(F.col(fk.parent_column).alias("_key")).distinct().withColumn("_known", F.lit(True))
-    joined = keys.join(parents, "_key", "left")
-    zero = F.lit(0).cast("long")
-    return joined.agg(
-        F.coalesce(F.sum("n"), zero).alias("checked_rows"),
-        F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("n"))), zero).alias("invalid_fk_count"),
-    ).select(
-        F.lit(fk.child).alias("child_table"),
-        F.lit(fk.child_column).alias("child_column"),
-        F.lit(fk.parent).alias("parent_table"),
-        F.lit(fk.parent_column).alias("parent_column"),
-        F.lit(fk.required).alias("required_fk"),
-        "checked_rows",
-        "invalid_fk_count",
-        F.when(F.col("invalid_fk_count") == 0, "PASS").otherwise("FAIL").alias("status"),
+    # A table may refer to itself.
+    return _parent_report("parent", fk.parent_column, [replace(fk, child="child")], {"child": child, "parent": parent}).withColumn(
+        "child_table", F.lit(fk.child)
     )
 
 
 def foreign_key_report(keys: Iterable[ForeignKey], tables: Mapping[str, DataFrame]) -> DataFrame:
-    """All registered foreign keys whose columns are present."""
-    return union_all(
-        foreign_key_check(fk, tables[fk.child], tables[fk.parent])
-        for fk in keys
-        if fk.child in tables
-        and fk.parent in tables
-        and fk.child_column in tables[fk.child].columns
-        and fk.parent_column in tables[fk.parent].columns
-    )
+    """All registered foreign keys whose columns are present, those of one parent together."""
+    by_parent: dict[tuple[str, str], list[ForeignKey]] = {}
+    for fk in keys:
+        if (
+            fk.child in tables
+            and fk.parent in tables
+            and fk.child_column in tables[fk.child].columns
+            and fk.parent_column in tables[fk.parent].columns
+        ):
+            by_parent.setdefault((fk.parent, fk.parent_column), []).append(fk)
+    return union_all(_parent_report(parent, column, found, tables) for (parent, column), found in by_parent.items())
 
 
 # Cardinality -----------------------------------------------------------------------------------
@@ -322,6 +353,64 @@ def child_requires_status(
     return child_links(parent.filter(F.lower(status) == value), child, key, name)
 
 
+def cardinality_checks(
+    parent: DataFrame, key: str, status: str, children: Mapping[str, DataFrame], specs: Sequence[tuple]
+) -> DataFrame:
+    """Several cardinality checks of one parent from one row per key, in one shuffle and without a join.
+
+    A spec is (kind, check name, child, ...): ("one_to_one", name, child), ("one_to_optional", name, child),
+    ("status_requires", name, child, states), ("links", name, child), ("requires_status", name, child, state).
+    The rows are those of the checks above.
+    """
+    states = sorted({s for kind, _, _, *more in specs for s in (more[0] if kind == "status_requires" else more)})
+    sides = {"_parent": F.col(key), **{name: F.col(key) for name in children}}
+    tagged = _tagged(sides, {"_parent": parent, **children}, {"_state": F.lower(status)})
+    per_key = tagged.groupBy("_key").agg(
+        *[_rows_of(s).alias(s) for s in sides], *[F.count_if(F.col("_state") == s).alias(f"_is_{s}") for s in states]
+    )
+    has_key = F.col("_key").isNotNull()
+    there = (F.col("_parent") > 0) & has_key
+    zero = F.lit(0).cast("long")
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(c), zero)
+
+    sums, lines = {}, []
+    for i, (kind, name, child, *more) in enumerate(specs):
+        n = F.col(child)
+        dup = total(F.when(n > 0, n - 1))
+        unlinked = total(F.when(~there, n))
+        text = lambda c: F.col(c).cast("string")
+        first, second, third = f"a{i}", f"b{i}", f"c{i}"
+        if kind == "one_to_one":
+            of_parent = F.col("_parent") > 0
+            sums |= {first: F.count_if(of_parent & (n == 0)), second: F.count_if(~of_parent & (n > 0)), third: dup}
+            failures = F.col(first) + F.col(second) + F.col(third)
+            details = F.concat(F.lit(f"missing_{child}="), text(first), F.lit(f"; extra_{child}="), text(second),
+                               F.lit(f"; {child}_duplicates="), text(third))
+        elif kind == "one_to_optional":
+            sums |= {first: dup, second: unlinked}
+            failures = F.col(first) + F.col(second)
+            details = F.concat(F.lit("duplicates="), text(first), F.lit("; invalid_links="), text(second))
+        else:
+            if kind == "status_requires":
+                in_state = reduce(lambda x, y: x | y, [F.col(f"_is_{s}") > 0 for s in more[0]])
+                sums[first] = F.count_if(in_state & ((n == 0) | ~has_key))
+            elif kind == "links":
+                sums[first] = unlinked
+            else:
+                sums[first] = total(F.when(~((F.col(f"_is_{more[0]}") > 0) & has_key), n))
+            failures = F.col(first)
+            details = F.concat(F.lit("invalid_rows="), text(first))
+        lines.append(
+            F.struct(
+                F.lit("cardinality").alias("check_group"), F.lit(name).alias("check_name"),
+                F.when(failures == 0, "PASS").otherwise("FAIL").alias("status"), failures.alias("failures"), details.alias("details"),
+            )
+        )
+    return per_key.agg(*[c.alias(n) for n, c in sums.items()]).select(F.inline(F.array(*lines)))
+
+
 def unique_grain(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
     return check_row(duplicate_count(df, columns), "cardinality", name, F.sum("duplicate_count"))
 

@@ -384,8 +384,29 @@ _ALL_CHECKS = " union all ".join([_Q07, _Q08, _Q09, _Q10, _Q11, _Q12, _Q14, _Q15
         from ({_ALL_CHECKS}) group by 1, 2""",
 )
 def q20(t):
-    checks = [f(t) for f in (q07, q08, q09, q10, q11, q12, q14, q15, q16, q17, q18, q19)]
-    return a.roll_up(a.union_all([c for c in checks if c is not None] + [a.foreign_key_rows(q13(t))]))
+    """The checks of Q14 to Q18 come from one row per order, the foreign keys from one row per key and parent."""
+    checks = [f(t) for f in (q07, q08, q09, q10, q11, q12, q19)]
+    children = {"payments": t.payments(), "shipments": t.shipments(), "returns": t.returns(), "reviews": t.reviews()}
+    orders = a.cardinality_checks(t.orders(), "order_id", "order_status", children, _ORDER_CHECKS)
+    return a.roll_up(a.union_all([c for c in checks if c is not None] + [orders, a.foreign_key_rows(q13(t))]))
+
+
+_ORDER_CHECKS = (
+    ("one_to_one", "orders_payments_1_to_1", "payments"),
+    ("one_to_optional", "orders_shipments_1_to_0_or_1", "shipments"),
+    ("status_requires", "orders_status_requires_shipments", "shipments", ("shipped", "delivered", "returned")),
+    ("links", "orders_returns_1_to_0_or_many", "returns"),
+    ("links", "orders_reviews_1_to_0_or_many", "reviews"),
+    ("requires_status", "returns_should_map_to_returned_orders", "returns", "returned"),
+    ("requires_status", "reviews_should_map_to_delivered_orders", "reviews", "delivered"),
+)
+
+
+@query("Q14_Q18_order_cardinality", " union all ".join([_Q14, _Q15, _Q16, _Q17, _Q18]))
+def q14_to_q18(t):
+    """All cardinality checks of the orders together."""
+    children = {"payments": t.payments(), "shipments": t.shipments(), "returns": t.returns(), "reviews": t.reviews()}
+    return a.cardinality_checks(t.orders(), "order_id", "order_status", children, _ORDER_CHECKS)
 
 
 def _window_sql(name: str, source: str, first: str, last: str) -> str:

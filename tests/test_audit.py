@@ -75,6 +75,36 @@ def test_cardinality_checks(spark):
     assert rows(a.unique_grain(child, ["id"], "n"))[0]["status"] == "FAIL"
 
 
+def test_checks_of_one_parent_together(spark):
+    orders = spark.createDataFrame([(1, "Shipped"), (2, "delivered"), (3, "cancelled"), (4, "delivered"), (4, "shipped")], "id int, st string")
+    few = spark.createDataFrame([(1,), (1,), (7,), (4,)], "id int")
+    many = spark.createDataFrame([(2,), (3,), (3,), (None,), (9,), (9,)], "id int")
+    specs = [("one_to_one", "a", "few"), ("one_to_optional", "b", "many"), ("status_requires", "c", "few", ["shipped", "delivered"]),
+             ("links", "d", "many"), ("requires_status", "e", "many", "delivered")]
+    got = a.cardinality_checks(orders, "id", "st", {"few": few, "many": many}, specs)
+    alone = [
+        a.one_to_one(orders, few, "id", "a", "few"), a.one_to_optional(orders, many, "id", "b"),
+        a.status_requires_child(orders, few, "id", "st", ["shipped", "delivered"], "c"), a.child_links(orders, many, "id", "d"),
+        a.child_requires_status(orders, many, "id", "st", "delivered", "e"),
+    ]
+    assert sorted(map(tuple, rows(got))) == sorted(map(tuple, rows(a.union_all(alone))))
+    nothing = a.cardinality_checks(orders.limit(0), "id", "st", {"few": few.limit(0), "many": many.limit(0)}, specs)
+    assert {(r["status"], r["failures"]) for r in rows(nothing)} == {("PASS", 0)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_foreign_keys_of_several_children_share_a_shuffle(spark):
+    parent = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k int")
+    one = spark.createDataFrame([(1, 2), (3, None), (None, 5)], "k int, l int")
+    keys = [ForeignKey("one", "k", "p", "k"), ForeignKey("one", "l", "p", "k", False), ForeignKey("p", "k", "p", "k"), ForeignKey("no", "k", "p", "k")]
+    report = a.foreign_key_report(keys, {"one": one, "p": parent})
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning") == 1
+    got = {(r["child_table"], r["child_column"]): (r["checked_rows"], r["invalid_fk_count"], r["status"]) for r in rows(report)}
+    assert got == {("one", "k"): (3, 2, "FAIL"), ("one", "l"): (2, 1, "FAIL"), ("p", "k"): (4, 1, "FAIL")}
+
+
 def test_roll_up(spark):
     df = spark.createDataFrame([(1,)], "v int")
     checks = a.union_all([a.rule_check(df, "good", F.col("v") > 1), a.rule_check(df, "bad", F.col("v") == 1)])
