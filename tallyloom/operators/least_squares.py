@@ -8,14 +8,20 @@ The driver sees one small matrix per block.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import ship_package
+
+#: Tasks that add up the matrices of all others.
+MERGERS = 8
+
 
 @dataclass(frozen=True)
 class Moments:
@@ -51,21 +57,56 @@ class Moments:
         return answer, float(self.mean[-1] - answer @ self.mean[:-1])
 
 
-def moments(rows: DataFrame, columns: Sequence[str], block: Column) -> dict:
-    """``Moments`` of each block of rows, from one aggregation."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    found = rows.groupBy(block.alias("_block")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(c) for c in columns]).alias("mean"),
-        F.array(*[F.covar_pop(columns[i], columns[j]) for i, j in pairs]).alias("products"),
+def _of(x: np.ndarray) -> Moments:
+    mean = x.mean(axis=0)
+    return Moments(len(x), mean, (x - mean).T @ (x - mean))
+
+
+def _batch(found: dict[int, Moments]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(
+        {
+            "block": pa.array(list(found), pa.int32()),
+            "n": pa.array([float(m.n) for m in found.values()]),
+            "mean": pa.array([m.mean.tolist() for m in found.values()], pa.list_(pa.float64())),
+            "products": pa.array([m.products.ravel().tolist() for m in found.values()], pa.list_(pa.float64())),
+        }
     )
-    out = {}
-    for row in found.collect():
-        products = np.zeros((len(columns), len(columns)))
-        for (i, j), value in zip(pairs, row["products"]):
-            products[i, j] = products[j, i] = value * row["n"]
-        out[row["_block"]] = Moments(row["n"], np.array(row["mean"]), products)
-    return out
+
+
+def _read(rows) -> dict[int, Moments]:
+    found: dict[int, Moments] = {}
+    for r in rows:
+        one = Moments(r["n"], np.array(r["mean"]), np.array(r["products"]).reshape(len(r["mean"]), -1))
+        found[r["block"]] = found[r["block"]] + one if r["block"] in found else one
+    return found
+
+
+def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per block of what a task reads; the first column is the block."""
+    found: dict[int, Moments] = {}
+    for batch in batches:
+        block, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        x = np.column_stack(columns).astype(float)
+        for k in np.unique(block).tolist():
+            one = _of(x[block == k])
+            found[k] = found[k] + one if k in found else one
+    yield _batch(found)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield _batch(_read(r for batch in batches for r in batch.to_pylist()))
+
+
+def moments(rows: DataFrame, columns: Sequence[str], block: Column) -> dict[int, Moments]:
+    """``Moments`` of each block of rows (a whole number) without nulls, from one pass.
+
+    A task hands on one matrix per block; ``MERGERS`` tasks add those up, so the driver gets a bounded number
+    of them, however many tasks there are.
+    """
+    ship_package(rows.sparkSession)
+    schema = "block int, n double, mean array<double>, products array<double>"
+    read = rows.select(block.cast("int").alias("_block"), *[F.col(c).cast("double") for c in columns])
+    return _read(read.mapInArrow(_sum_up, schema).repartition(MERGERS).mapInArrow(_merge, schema).collect())
 
 
 def fold_block(last: Column, horizon: int, n_folds: int, date: str = "date") -> Column:

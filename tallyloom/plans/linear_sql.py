@@ -77,7 +77,7 @@ def _rolled(source: str, keys: str, days: int, folds: str) -> str:
 
 
 COEFFICIENTS = f"""with recursive {_design('v_daily', '')}, {_solved()}
-    select feature, case when feature = 'intercept' then round(coefficient, 2) else round(coefficient, 4) end + 0e0 as coefficient from (
+    select feature, case when regexp_matches(feature, '^(lag|roll)_') then round(coefficient, 6) else round(coefficient, 0) end + 0e0 as coefficient from (
         select unnest([{', '.join(f"'{n}'" for n in e.BASELINE_FEATURES)}, 'intercept']) as feature,
             unnest(list_append(beta, intercept)) as coefficient from solved where fold = {N_FOLDS + 1})"""
 

