@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import binary_text, doc_crc, slices, table
-from tallyloom.session import ship_package, store
+from tallyloom.session import ship_package
 
 WORD_BITS, STEPS, RANK = 15, 20, 8
 WORD_MASS = 4.0
@@ -206,6 +206,10 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column, max_rows: int =
     return bytes(fitted[0]["model"]) if fitted else float(found["share"])
 
 
+def _probability(raw: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+
+
 def _scores(model: bytes | float):
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("score", pa.float64())])
 
@@ -217,7 +221,7 @@ def _scores(model: bytes | float):
                 score = np.full(batch.num_rows, model)
             else:
                 raw, _ = machine(machine_, *maker.rows(batch.column("_text").to_pylist(), batch.column("_chars").to_pylist()))
-                score = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+                score = _probability(raw)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(score)], schema=schema)
 
     return run
@@ -246,14 +250,37 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def _kept(model: bytes | float, text_at: int, chars_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine_ = _unpack(model.value) if not isinstance(model, float) else None
+        maker = Featuriser()
+        for batch in batches:
+            if machine_ is None:
+                keep = np.full(batch.num_rows, model >= 0.5)
+            else:
+                read = [batch.column(text_at).cast(pa.binary()).fill_null(b""), batch.column(chars_at).cast(pa.int64())]
+                keep = np.empty(batch.num_rows, dtype=bool)
+                done = 0
+                for part in slices(iter([pa.RecordBatch.from_arrays(read, ["_text", "_chars"])]), "_text", 1 << 20):
+                    raw, _ = machine(machine_, *maker.rows(part.column("_text").to_pylist(), part.column("_chars").to_pylist()))
+                    keep[done : done + part.num_rows] = _probability(raw) >= 0.5
+                    done += part.num_rows
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the machine does not reject, with all their columns."""
-    rejected = store(score(docs, labels).filter("predicted = 0").select("doc_id", "text_key").distinct(), "rejected")
-    rejected = rejected.select(F.col("doc_id").alias("__rejected_id"), F.col("text_key").alias("__rejected_key"))
-    key = F.xxhash64(F.coalesce("text", F.lit("")), "n_chars")
-    return docs.join(
-        rejected, docs["doc_id"].eqNullSafe(F.col("__rejected_id")) & (key == F.col("__rejected_key")), "left_anti"
-    )
+    """The rows of ``docs`` that the machine does not reject, with all their columns.
+
+    A row is judged where it is read: no join, and texts are not shuffled.
+    """
+    model = train(docs, labels, trainable())
+    if not isinstance(model, float):
+        model = docs.sparkSession.sparkContext.broadcast(model)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots cannot be passed
+    kept = plain.mapInArrow(_kept(model, docs.columns.index("text"), docs.columns.index("n_chars")), plain.schema)
+    return kept.toDF(*docs.columns)
 
 
 def op2(spark: SparkSession, directory: str) -> DataFrame:

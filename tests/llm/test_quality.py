@@ -47,6 +47,9 @@ def test_awkward_rows_and_labels(spark):
     kept = Q.drop_low_quality(documents(spark), labels)
     assert kept.columns == documents(spark).columns
     assert kept.count() == (scored.predicted == 1).sum()
+    assert kept.schema == documents(spark).schema and Q.drop_low_quality(nothing(spark), labels).collect() == []
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan.replace("Exchange RoundRobinPartitioning", "")
     assert Q.score(nothing(spark), labels).collect() == []
 
 
