@@ -1,8 +1,8 @@
 """Named queries for fitted models (F04-F13, B01-B08) and their explanation (V01-V05).
 
-A fit depends on how an engine draws samples and splits, so its values have no SQL to be held against.
-Two queries of check rows have: every forecast covers its days, and none is negative or empty. Tests hold
-the rest against plain loops and properties.
+Linear models have SQL of their own (``linear_sql``). A fit of trees depends on how an engine draws samples
+and splits, so its values have no SQL to be held against. Two queries of check rows have: every forecast covers
+its days, and none is negative or empty. Tests hold the rest against plain loops and properties.
 """
 
 from __future__ import annotations
