@@ -35,11 +35,6 @@ PARAM_GRID = (
 )
 BLEND_ALPHAS = (0.75, 0.9)
 DUAL_ALPHAS = (0.6, 0.7, 0.8, 0.9)
-# Boosting in Spark grows trees by depth and has no leaf penalty: fewer, deeper trees, larger steps.
-DUAL_PARAMS = {
-    "maxIter": 150, "stepSize": 0.06, "maxDepth": 5, "subsamplingRate": 0.82, "minInstancesPerNode": 20,
-    "featureSubsetStrategy": "0.82",
-}
 
 
 # Folds -----------------------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators import backtest as b
+from tallyloom.operators import boosting
 from tallyloom.operators import explain as x
 from tallyloom.operators import features as e
 from tallyloom.operators import forecast as f
@@ -28,6 +29,10 @@ from tallyloom.session import data_version
 KEYS = ["series"]
 HOLDOUT = 120
 DUAL_HOLDOUT = 180
+# Leaves, rows of a leaf, shares of rows and features, penalties. Fewer trees take larger steps.
+DUAL_MODEL = boosting.LeafWise(
+    trees=100, step=0.08, leaves=48, min_rows=20, row_share=0.82, column_share=0.82, l1=0.08, l2=0.12
+)
 
 # A fitted model serves every query of a session that needs it, as long as the files are the same.
 _FITTED: dict[tuple, object] = {}
@@ -151,23 +156,18 @@ def _holdout_model(t):
     return _boosted_model(t, chosen_candidate(t)["params"], train, "boosted_holdout"), train, held
 
 
-def _dual_models(t, rows: DataFrame, name: str) -> dict[str, object]:
-    """A model per target, fitted side by side."""
+def _dual_scorers(t, name: str) -> dict[str, f.Scorer]:
+    """The models of both targets, without the last days ("holdout") or of all ("full"), grown together."""
 
-    def fit(target: str):
-        return f.fit_boosted(rows, e.DUAL_FEATURES, target, f.DUAL_PARAMS)
+    def fit() -> dict[str, f.Scorer]:
+        rows = _dual(t)
+        last = b.tail_split(rows, DUAL_HOLDOUT)[0].agg(F.max("date")).first()[0]
+        targets = {f"full_{v}": F.col(v) for v in ("revenue", "cogs")}
+        targets.update({f"holdout_{v}": F.when(F.col("date") <= F.lit(last), F.col(v)) for v in ("revenue", "cogs")})
+        return boosting.fit(rows, e.DUAL_FEATURES, {n: (y, DUAL_MODEL) for n, y in targets.items()})
 
-    names = {v: f"dual_{name}_{v}:{_label(f.DUAL_PARAMS)}" for v in ("revenue", "cogs")}
-    models = fitted_all(t, {names[v]: lambda v=v: fit(v) for v in names})
-    return {v: models[n] for v, n in names.items()}
-
-
-def _dual_scorers(t, rows: DataFrame, name: str) -> tuple[f.Scorer, f.Scorer]:
-    models = _dual_models(t, rows, name)
-    return tuple(
-        fitted(t, f"dual_{name}_{v}_scorer:{_label(f.DUAL_PARAMS)}", lambda m=m: f.boosted_scorer(m, e.DUAL_FEATURES, t.spark))
-        for v, m in models.items()
-    )
+    models = fitted(t, f"dual:{DUAL_MODEL}", fit)
+    return {v: models[f"{name}_{v}"] for v in ("revenue", "cogs")}
 
 
 # Linear ----------------------------------------------------------------------------------------
@@ -387,18 +387,16 @@ def b07(t):
 @query("F09_dual_one_step")
 def f09(t):
     """Both models on the held-out days, with true lags."""
-    train, held = b.tail_split(_dual(t), DUAL_HOLDOUT)
-    scored = f.with_vector(held, e.DUAL_FEATURES)
-    for target, model in _dual_models(t, train, "holdout").items():
-        scored = model.transform(scored).withColumnRenamed("prediction", f"{target}_pred")
-    return scored.select("date", "revenue", "cogs", "revenue_pred", "cogs_pred")
+    _, held = b.tail_split(_dual(t), DUAL_HOLDOUT)
+    models = {f"{v}_pred": model for v, model in _dual_scorers(t, "holdout").items()}
+    return boosting.predicted(held, models).select("date", "revenue", "cogs", *models)
 
 
 @query("F10_dual_recursive")
 def f10(t):
-    """Refitted on all rows; predictions feed back as they are."""
-    revenue, cogs = _dual_scorers(t, _dual(t), "full")
-    return f.recursive_dual_forecast(_daily(t), t.horizon_days, revenue, cogs)
+    """Models of all rows; predictions feed back as they are."""
+    models = _dual_scorers(t, "full")
+    return f.recursive_dual_forecast(_daily(t), t.horizon_days, models["revenue"], models["cogs"])
 
 
 @query("F11_dual_post_processed")
@@ -426,15 +424,14 @@ def f11(t):
 @query("B08_dual_blend_weights")
 def b08(t):
     """Weights judged on a recursive forecast of the holdout, the way they will be used."""
-    train_rows, _ = b.tail_split(_dual(t), DUAL_HOLDOUT)
-    revenue, cogs = _dual_scorers(t, train_rows, "holdout")
+    models = _dual_scorers(t, "holdout")
     train, held = b.tail_split(_daily(t), DUAL_HOLDOUT)
     wide = f.align(
         {
             "revenue_seasonal": f.seasonal_naive(train, DUAL_HOLDOUT, 365),
             "cogs_seasonal": f.seasonal_naive(train, DUAL_HOLDOUT, 365, "cogs"),
         }
-    ).join(f.recursive_dual_forecast(train, DUAL_HOLDOUT, revenue, cogs), "date")
+    ).join(f.recursive_dual_forecast(train, DUAL_HOLDOUT, models["revenue"], models["cogs"]), "date")
     judged = once(t, "dual_judged", lambda: held.join(wide, "date"))
     return b.blend_weights(judged, f.DUAL_ALPHAS)
 
