@@ -107,12 +107,24 @@ def running(
     shorter by the size of a block, and run the same way. With ``strictly_before`` the row itself is left out.
     """
     x, rows = numbered(df, order, keys)
-    keys = list(keys)
+    return running_at(x, rows, columns, keys, strictly_before, block_rows).select(*df.columns, *columns)
+
+
+def running_at(
+    x: DataFrame,
+    rows: int,
+    columns: Mapping[str, tuple[str, str]],
+    keys: Sequence[str] = (),
+    strictly_before: bool = False,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``running`` for a frame that is numbered already; the position stays."""
+    keys, own = list(keys), x.columns
     x = x.withColumn(BLOCK, block_of(POSITION, block_rows))
     frame = W.partitionBy(BLOCK, *keys).orderBy(POSITION).rowsBetween(W.unboundedPreceding, -1 if strictly_before else 0)
     inside = {name: _FIRST[stat](value).over(frame) for name, (stat, value) in columns.items()}
     if rows <= block_rows:
-        return x.withColumns(inside).drop(BLOCK, POSITION)
+        return x.withColumns(inside).drop(BLOCK)
 
     parts = x.groupBy(BLOCK, *keys).agg(
         F.min(POSITION).alias("_first"),
@@ -134,4 +146,4 @@ def running(
     x = x.withColumns(
         {n: _both(stat, F.when(same, F.col(f"_up_to_{n}")), F.col(n)) for n, (stat, _) in columns.items()}
     )
-    return x.select(*df.columns, *columns)
+    return x.select(*own, *columns)
