@@ -13,6 +13,7 @@ MODULES = (
     "kpi",
     "diagnostics",
     "series",
+    "long_series",
     "models",
 )
 
