@@ -34,6 +34,8 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ("", "system", "user", "assistant")
 MERGE, INSERT, RELABEL = 1, 2, 3
 SEGMENT = 512
+#: Characters after which a segment takes no further turn.
+SEGMENT_CHARS = 4 << 20
 _NEVER = 1 << 20
 #: Turns from state to state along the automaton; all but the last are put in.
 _STEPS = np.array([
@@ -112,8 +114,8 @@ def _code(role: str | None) -> int:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted turns of a partition as rows of at most SEGMENT turns of one conversation."""
-    part, block, held, conv = TaskContext.get().partitionId(), 0, [], None
+    """Sorted turns of a partition as rows of one conversation: SEGMENT turns at most, and few if they are long."""
+    part, block, held, chars, conv = TaskContext.get().partitionId(), 0, [], 0, None
     turn = pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
 
     def row() -> pa.RecordBatch:
@@ -126,11 +128,12 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for t in batch.to_pylist():
             here = t.pop("conv_id")
-            if held and (here != conv or len(held) == SEGMENT):
+            if held and (here != conv or len(held) == SEGMENT or chars >= SEGMENT_CHARS):
                 ready.append(row())
-                block, held = block + 1, []
+                block, held, chars = block + 1, [], 0
             conv = here
             held.append(t)
+            chars += len(t["text"] or "") + len(t["role"] or "")
         if ready:
             yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
             ready = []
@@ -246,7 +249,7 @@ def repair(turns: DataFrame) -> DataFrame:
     tables = segments.select("conv_id", "part", "block", "codes").mapInArrow(
         _tables, "conv_id bigint, part int, block bigint, n bigint, table array<int>"
     )
-    # At most a partition's turns / SEGMENT blocks, and as many parts as there are partitions.
+    # A block per SEGMENT turns or SEGMENT_CHARS characters of a partition, and as many parts as there are partitions.
     in_part = tables.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("block", "n", "table"))).alias("blocks"))
     in_part = store(in_part, "chat-parts")
     parts = in_part.mapInArrow(_combined, "conv_id bigint, part int, n bigint, table array<int>")

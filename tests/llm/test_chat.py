@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.llm import chat as C
 
@@ -75,6 +76,21 @@ def test_every_conversation_becomes_legal_at_least_cost(spark, partitions):
             assert sum(r["cost"] for r in mine) == brute([C._code(t[2]) for t in turns])
 
 
+def test_long_turns_make_short_segments(spark):
+    """Turns of a million characters: rows stay small, and the repair is the same as that of short turns."""
+    size, turns = C.SEGMENT_CHARS // 4, 30
+    role = F.when(F.col("id") % 3 == 0, "assistant").otherwise("user")
+    base = spark.range(turns).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"))
+    long, short = (base.withColumn("text", F.repeat(F.lit("x"), n)) for n in (size, 1))
+    order = ["conv_id", "turn"]
+    segments = long.repartition(1).sortWithinPartitions(*order).mapInArrow(C._segments, C._SEGMENT_DDL)
+    held = [r["n"] for r in segments.select(F.size("turns").alias("n")).collect()]
+    assert sum(held) == turns and max(held) <= 4
+    kept = ["position", "turn", "role", "action", "new_role", "inserted", "inserted_at_end", "cost"]
+    one, two = (sorted(map(tuple, C.repair(df).select(*kept).collect())) for df in (long, short))
+    assert one == two and len(one) == turns
+
+
 def test_whole_conversations_and_empty_table(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a", 1, "", 0), (1, 1, "user", "b", 1, "", 0)], SCHEMA)
     row = C.render_conversations(turns).first()
