@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import shutil
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 from pathlib import Path
@@ -103,17 +104,19 @@ def store(df: DataFrame, label: str) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+_SHIPPING = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application.
+    """Give the Python workers this package, once per application, also when fits of several threads ask for it.
 
     Functions that run inside tasks import it, and executors do not share the driver's path.
     """
     app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        root = Path(__file__).resolve().parent
-        folder = tempfile.mkdtemp(prefix="tallyloom-package-")
-        archive = shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name)
-        spark.sparkContext.addPyFile(archive)
-        _SHIPPED.add(app)
+    with _SHIPPING:
+        if app not in _SHIPPED:
+            root = Path(__file__).resolve().parent
+            folder = tempfile.mkdtemp(prefix="tallyloom-package-")
+            archive = shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name)
+            spark.sparkContext.addPyFile(archive)
+            _SHIPPED.add(app)
