@@ -9,7 +9,7 @@ size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.session import store
 
+#: Rows of a frame of cells or groups that every task may hold.
+FEW_ROWS = 100_000
+
 
 def _ranks(probs: Sequence[float], total: Column) -> list[tuple[Column, Column, Column]]:
     """(lower rank, upper rank, weight of the upper) of each probability, ranks from 0."""
@@ -43,6 +46,7 @@ def exact_quantiles(
     until none that is left has more than ``cell_rows`` values. Each round parts the ends of a cell, so
     outliers cost rounds and never a large cell; the cells only steer the search, the answer is exact.
     Null values and null keys are left out. What is left of a round is written to the shared folder.
+    Values meet their cell where they lie: a join by shuffle would bring all of a group to one task.
     """
     keys = list(keys)
     if not keys:
@@ -54,10 +58,12 @@ def exact_quantiles(
     x = store(x.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")), "values")
     totals = x.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     # A cell is named by the number of values before it.
-    x = x.join(totals, keys).withColumn("_cell", F.lit(0).cast("long"))
+    # Two ranks a probability: no more cells than that are kept of a group.
+    at_hand = F.broadcast if totals.count() * 2 * len(probs) <= FEW_ROWS else lambda small: small
+    x = x.join(at_hand(totals), keys).withColumn("_cell", F.lit(0).cast("long"))
     group = [*keys, "_cell"]
     while largest_cell(x, group) > cell_rows:
-        x = store(_narrowed(x, keys, list(probs.values()), bins), "cells")
+        x = store(_narrowed(x, keys, list(probs.values()), bins, at_hand), "cells")
     x = x.withColumn("_before", F.col("_cell"))
     ordered = W.partitionBy(*group).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     x = x.withColumn("_end", F.col("_before") + F.sum("_n").over(ordered))
@@ -82,14 +88,14 @@ def largest_cell(x: DataFrame, group: Sequence[str]) -> int:
     return x.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0] or 0
 
 
-def _narrowed(x: DataFrame, keys: Sequence[str], probs: Sequence[float], bins: int) -> DataFrame:
+def _narrowed(x: DataFrame, keys: Sequence[str], probs: Sequence[float], bins: int, at_hand: Callable) -> DataFrame:
     """Cut every cell and keep the parts that hold a wanted rank."""
     group = [*keys, "_cell"]
     span = x.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     # Halves first: the width of a cell may exceed the largest double.
     share = F.try_divide(F.col("_v") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2)
     part = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1).cast("long"))
-    x = x.join(span, group).withColumn("_part", F.when(F.col("_v") == F.col("_hi"), bins - 1).otherwise(part)).drop("_lo", "_hi")
+    x = x.join(at_hand(span), group).withColumn("_part", F.when(F.col("_v") == F.col("_hi"), bins - 1).otherwise(part)).drop("_lo", "_hi")
     cells = x.groupBy(*group, "_part", "_total").agg(F.sum("_n").alias("_c"))
     running = F.sum("_c").over(W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, 0))
     cells = cells.withColumn("_start", F.col("_cell") + running - F.col("_c"))
@@ -98,7 +104,7 @@ def _narrowed(x: DataFrame, keys: Sequence[str], probs: Sequence[float], bins: i
     for low, high, _ in _ranks(probs, F.col("_total")):
         wanted = wanted | ((low >= start) & (low < end)) | ((high >= start) & (high < end))
     kept = cells.filter(wanted).select(*group, "_part", "_start")
-    return x.join(kept, [*group, "_part"]).select(*keys, "_v", "_n", "_total", F.col("_start").alias("_cell"))
+    return x.join(at_hand(kept), [*group, "_part"]).select(*keys, "_v", "_n", "_total", F.col("_start").alias("_cell"))
 
 
 def bounded_quantile(value: str | Column, p: float, frequency: str | Column | None = None) -> Column:

@@ -69,3 +69,26 @@ def test_nulls_are_left_out_and_no_key_is_one_group(spark):
 @given(st.lists(st.floats(-1e9, 1e9, allow_nan=False), min_size=1, max_size=60))
 def test_any_list(spark, values):
     check(spark, {"x": values}, bins=4)
+
+
+def test_values_of_one_group_meet_their_cells_where_they_lie(spark, monkeypatch):
+    """Also where tables are too large to be broadcast by themselves: no sort of a whole group in one task."""
+    from tallyloom.functions import quantile
+
+    plans = []
+    real = quantile.store
+
+    def seen(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, label)
+
+    monkeypatch.setattr(quantile, "store", seen)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(3000).selectExpr("cast(id as double) as v")
+        assert exact_quantiles(df, [], "v", {"m": 0.5}, cell_rows=50).collect()[0]["m"] == 1499.5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    rounds = [plan for label, plan in plans if label == "cells"]
+    assert rounds and not any("SortMergeJoin" in plan for plan in rounds)
