@@ -123,10 +123,32 @@ def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     return grouped.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0).cast("long")).alias("duplicate_count"))
 
 
+def _digest(df: DataFrame) -> list[Column]:
+    """128 bits of a row; equal rows have equal ones, and nulls count by their place."""
+    row = [*[F.col(f"`{c}`") for c in df.columns], F.array(*[F.isnull(f"`{c}`") for c in df.columns])]
+    return [F.xxhash64(*row).alias("_h1"), F.xxhash64(F.lit(1), *row).alias("_h2")]
+
+
 def full_row_duplicates(tables: Mapping[str, DataFrame]) -> DataFrame:
-    return union_all(
-        duplicate_count(df).select(F.lit(n).alias("table"), "duplicate_count") for n, df in tables.items()
-    )
+    """Rows beyond the first of each group of equal rows, per table.
+
+    Rows travel as digests, so that a task holds two numbers a row. Only rows whose digest repeats are then
+    compared whole; other rows have no equal.
+    """
+    repeated = {
+        n: df.select(*_digest(df)).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        for n, df in tables.items()
+    }
+    found = union_all(r.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("table"), "n") for n, r in repeated.items())
+    some = {r["table"] for r in found.collect() if r["n"]}
+
+    def one(n: str, df: DataFrame) -> DataFrame:
+        if n not in some:
+            return df.sparkSession.range(1).select(F.lit(n).alias("table"), F.lit(0).cast("long").alias("duplicate_count"))
+        whole = df.select("*", *_digest(df)).join(repeated[n].drop("n"), ["_h1", "_h2"], "left_semi")
+        return duplicate_count(whole, df.columns).select(F.lit(n).alias("table"), "duplicate_count")
+
+    return union_all(one(n, df) for n, df in tables.items())
 
 
 def key_duplicates(tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec]) -> DataFrame:

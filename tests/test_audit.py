@@ -127,3 +127,22 @@ def test_registry_is_consistent():
         assert fk.child_column in REGISTRY.tables[fk.child].schema.names
         assert fk.parent_column in REGISTRY.tables[fk.parent].schema.names
     assert len(REGISTRY.tables) == 14 and len(REGISTRY.foreign_keys) == 15
+
+
+def test_full_row_duplicates_compare_digests_first_and_then_rows(spark, monkeypatch):
+    """Equal rows with nulls, nulls that change place, zeros of both signs; also when all digests clash."""
+    from tallyloom.operators import audit
+
+    rows = [("x", None, 0.0), ("x", None, -0.0), (None, "x", 0.0), (None, None, float("nan")), (None, None, float("nan")), ("y", "y", 1.0)]
+    tables = {
+        "some": spark.createDataFrame(rows, "a string, b string, c double"),
+        "none": spark.range(5).toDF("a"),
+        "empty": spark.range(0).toDF("a"),
+    }
+    want = {"some": 2, "none": 0, "empty": 0}
+    plan = audit.full_row_duplicates({"none": tables["none"]})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # a table without repeated digests groups no whole rows
+    assert {r["table"]: r["duplicate_count"] for r in audit.full_row_duplicates(tables).collect()} == want
+    clash = lambda df: [F.lit(1).cast("long").alias("_h1"), F.lit(2).cast("long").alias("_h2")]
+    monkeypatch.setattr(audit, "_digest", clash)
+    assert {r["table"]: r["duplicate_count"] for r in audit.full_row_duplicates(tables).collect()} == want
