@@ -7,8 +7,11 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.functions import blocks
 from tallyloom.functions.series import series_window
+from tallyloom.operators import expanding
 from tallyloom.operators.expanding import expanding_median, smallest
+from tallyloom.session import store
 
 
 def test_smallest_against_sorting():
@@ -55,3 +58,35 @@ def test_no_rows_and_no_values(spark):
     assert expanding_median(df.filter("at < 0"), "v", ["at"], ["k"]).count() == 0
     bare = expanding_median(df.withColumn("v", F.lit(None).cast("double")), "v", ["at"], ["k"])
     assert [r["past_median"] for r in bare.collect()] == [None] * 20
+
+
+def test_series_within_and_across_blocks(spark):
+    """Falling levels from series to series share cells; a series ends in blocks without values."""
+    levels = {None: 50.0, "a": 40.0, "b": 30.0, "c": -30.0, "d": float("inf"), "e": 0.0}
+    lengths = {None: 3, "a": 2, "b": 160, "c": 41, "d": 7, "e": 90}
+    rows = [
+        (at, k, None if k == "e" and at >= 5 else levels[k] + (at * 7 % 11 if k != "d" else 0))
+        for k, n in lengths.items()
+        for at in range(n)
+    ]
+    df = spark.createDataFrame([(i, at, k, v) for i, (at, k, v) in enumerate(rows)], "id long, at long, k string, v double")
+    w = series_window(["k"]).orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    expected = {r["id"]: r["m"] for r in df.withColumn("m", F.percentile("v", F.lit(0.5)).over(w)).collect()}
+    got = {r["id"]: r["past_median"] for r in expanding_median(df, "v", ["at"], ["k"], block_rows=20).collect()}
+    assert got == expected
+
+
+@pytest.mark.parametrize("order", ["random", "apart"])
+def test_no_stored_frame_has_more_rows_than_the_input(spark, monkeypatch, order):
+    """Answers are found block by block: rows do not become questions that are numbered and written."""
+    written = []
+
+    def counted(df, label):
+        out = store(df, label)
+        written.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(blocks, "store", counted)
+    monkeypatch.setattr(expanding, "store", counted)
+    expanding_median(frame(spark, 900, 4, order), "v", ["at"], ["k"], block_rows=50)
+    assert written and all(rows <= 900 for _, rows in written), written
