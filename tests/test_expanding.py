@@ -90,3 +90,8 @@ def test_no_stored_frame_has_more_rows_than_the_input(spark, monkeypatch, order)
     monkeypatch.setattr(expanding, "store", counted)
     expanding_median(frame(spark, 900, 4, order), "v", ["at"], ["k"], block_rows=50)
     assert written and all(rows <= 900 for _, rows in written), written
+
+
+def test_equal_without_broadcast_of_the_cells(spark, monkeypatch):
+    monkeypatch.setattr(expanding, "FEW_ROWS", 0)
+    check(frame(spark, 400, 5, "apart"), ["k"], 25)
